@@ -11,7 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many characters, so that the arrays of a slice stay near the cache.
 SLICE_CHARS = 1 << 19
@@ -169,3 +170,42 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def arrow_texts(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
     return column.to_pylist()
+
+
+# ---------------------------------------------------------------- keeping and dropping rows
+
+#: A table of decisions is sent to every executor up to this many rows (16 bytes each); beyond it, it is joined in a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """``doc_id, key`` of each row: ``key`` tells apart rows that share an id but not a text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("key"))
+
+
+def _by(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    names = {n: free_name(docs, n) for n in ("by_id", "by_key")}
+    decided = decided.select(F.col("doc_id").alias(names["by_id"]), F.col("key").alias(names["by_key"]))
+    small = decided.count() <= BROADCAST_ROWS
+    decided = F.broadcast(decided) if small else decided.hint("shuffle_hash")
+    return docs.join(decided, (docs["doc_id"] == decided[names["by_id"]]) & (F.xxhash64(docs["text"]) == decided[names["by_key"]]), how)
+
+
+def keep_by(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (a settled ``doc_id, key``) names. Rows with a null doc_id are never named."""
+    return _by(docs, decided, "left_semi")
+
+
+def drop_by(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` doesn't name."""
+    return _by(docs, decided, "left_anti")
+
+
+def one_of_repeated(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Of rows that repeat both a doc_id and a text that ``decided`` names, the first by their other columns; all other rows."""
+    if decided.isEmpty():
+        return docs
+    rank = free_name(docs, "rank")
+    window = Window.partitionBy("doc_id", "text").orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    once = keep_by(docs, decided).withColumn(rank, F.row_number().over(window)).filter(F.col(rank) == 1).drop(rank)
+    return drop_by(docs, decided).unionByName(once)
