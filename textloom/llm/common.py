@@ -184,15 +184,17 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def _by(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    names = {n: free_name(docs, n) for n in ("by_id", "by_key")}
-    decided = decided.select(F.col("doc_id").alias(names["by_id"]), F.col("key").alias(names["by_key"]))
-    small = decided.count() <= BROADCAST_ROWS
-    decided = F.broadcast(decided) if small else decided.hint("shuffle_hash")
-    return docs.join(decided, (docs["doc_id"] == decided[names["by_id"]]) & (F.xxhash64(docs["text"]) == decided[names["by_key"]]), how)
+    names = {n: free_name(docs, "by_" + n) for n in decided.columns}
+    decided = decided.select(*[F.col(n).alias(as_) for n, as_ in names.items()])
+    decided = F.broadcast(decided) if decided.count() <= BROADCAST_ROWS else decided.hint("shuffle_hash")
+    same = docs["doc_id"] == decided[names["doc_id"]]
+    if "key" in names:
+        same &= F.xxhash64(docs["text"]) == decided[names["key"]]
+    return docs.join(decided, same, how)
 
 
 def keep_by(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``decided`` (a settled ``doc_id, key``) names. Rows with a null doc_id are never named."""
+    """The rows of ``docs`` that ``decided`` (a settled ``doc_id``, or ``doc_id, key``) names. Rows with a null doc_id are never named."""
     return _by(docs, decided, "left_semi")
 
 
