@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, near, toxicity
+from . import exact, mixing, near, packing, toxicity
 from .common import table
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies that every document gets."""
+    return mixing.drawn_copies(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxic documents with their scores."""
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"))
@@ -20,6 +25,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as sequences of power-of-two lengths."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has near duplicates, with its group."""
     return near.near_groups(table(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
 #: Pieces longer than this many code points are encoded one by one, by the encoder itself.
 LONG_PIECE = 40
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 
 
 class Tokenizer:
