@@ -29,5 +29,58 @@ WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, coun
 SELECT doc_id, first_id, copies, doc_id <> first_id AS is_copy FROM g WHERE copies > 1"""
 
 
+ARC = r"""
+WITH a AS (
+  SELECT page_id, CAST(coalesce(page_id, 0) AS BIGINT) AS number, CAST(coalesce(page_id, 0) // 256 AS BIGINT) AS an, coalesce(html, '') AS body,
+    regexp_replace(coalesce(nullif(url, ''), 'unknown:'), '[ \t\r\n\x0B\f]', '%20', 'g') AS url FROM pages
+), b AS (
+  SELECT *, 'crawl-' || lpad(CAST(an AS VARCHAR), 8, '0') || '.arc' AS archive, strftime(make_timestamp((978307200 + number % 100000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS date,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body AS block FROM a
+), c AS (SELECT *, sha256(block) AS digest, sha256(body) AS payload, chr(13) || chr(10) AS nl FROM b),
+d AS (SELECT *, sha256(archive || chr(10) || number || chr(10) || url || chr(10) || date || chr(10) || digest) AS h FROM c),
+e AS (SELECT *, 'urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS record_id FROM d)
+SELECT page_id, archive, number, CAST(an % 2 + 1 AS INT) AS version, 'response' AS warc_type, record_id, url AS target_uri, date AS warc_date, '192.0.2.1' AS ip,
+  'application/http; msgtype=response' AS content_type, CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || digest AS block_digest, 'sha256:' || payload AS payload_digest, 'text/html' AS payload_type,
+  false AS truncated,
+  'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <' || record_id || '>' || nl || 'WARC-Date: ' || date || nl || 'WARC-Target-URI: ' || url || nl || 'WARC-IP-Address: 192.0.2.1' || nl
+  || 'WARC-Payload-Digest: sha256:' || payload || nl || 'WARC-Identified-Payload-Type: text/html' || nl || 'WARC-Block-Digest: sha256:' || digest || nl || 'Content-Type: application/http; msgtype=response' || nl
+  || 'Content-Length: ' || strlen(block) || nl || nl || block || nl || nl AS record
+FROM e"""
+
+MERKLE = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL
+), hashed AS (
+  SELECT doc_id, i, length(line) AS n, regexp_matches(line, '^[ \t\r\f\v]*$') AS blank, substr(sha256('p' || line), 1, 32) AS leaf FROM lines
+), cut AS (
+  SELECT *, coalesce(sum(CASE WHEN blank OR leaf LIKE '0%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sec FROM hashed
+), para AS (
+  SELECT doc_id, n, leaf, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, dense_rank() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS s FROM cut WHERE NOT blank
+), sect AS (SELECT doc_id, s, substr(sha256('s' || string_agg(leaf, '' ORDER BY k)), 1, 32) AS hash FROM para GROUP BY doc_id, s),
+longest AS (SELECT doc_id, leaf FROM (SELECT doc_id, leaf, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, leaf) AS r FROM para) WHERE r = 1),
+docs AS (
+  SELECT d.doc_id, d.text IS NULL AS missing, substr(sha256('r' || coalesce(x.all_hashes, '')), 1, 32) AS root, coalesce(x.n, 0) AS n_sections, coalesce(y.n, 0) AS n_paragraphs, coalesce(l.leaf, '') AS leaf
+  FROM documents d LEFT JOIN (SELECT doc_id, string_agg(hash, '' ORDER BY s) AS all_hashes, count(*) AS n FROM sect GROUP BY 1) x USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM para GROUP BY 1) y USING (doc_id) LEFT JOIN longest l USING (doc_id)
+), based AS (
+  SELECT a.*, b.base_id, c.root AS base_root FROM docs a LEFT JOIN (SELECT leaf, min(doc_id) AS base_id FROM docs WHERE NOT missing GROUP BY 1) b ON a.leaf = b.leaf AND NOT a.missing LEFT JOIN docs c ON c.doc_id = b.base_id
+), differ AS (SELECT doc_id, base_id FROM based WHERE root <> base_root AND NOT missing),
+own AS (
+  SELECT d.doc_id, d.base_id, t.s FROM differ d JOIN sect t ON t.doc_id = d.doc_id WHERE NOT EXISTS (SELECT 1 FROM sect o WHERE o.doc_id = d.base_id AND o.hash = t.hash)
+), theirs AS (
+  SELECT d.doc_id, d.base_id, t.s FROM differ d JOIN sect t ON t.doc_id = d.base_id WHERE NOT EXISTS (SELECT 1 FROM sect o WHERE o.doc_id = d.doc_id AND o.hash = t.hash)
+), changed AS (
+  SELECT o.doc_id, p.k FROM own o JOIN para p ON p.doc_id = o.doc_id AND p.s = o.s WHERE NOT EXISTS (SELECT 1 FROM para q WHERE q.doc_id = o.base_id AND q.leaf = p.leaf)
+), removed AS (
+  SELECT o.doc_id, p.k FROM theirs o JOIN para p ON p.doc_id = o.base_id AND p.s = o.s WHERE NOT EXISTS (SELECT 1 FROM para q WHERE q.doc_id = o.doc_id AND q.leaf = p.leaf)
+)
+SELECT b.doc_id, CASE WHEN missing THEN NULL ELSE b.root END AS root, CASE WHEN missing THEN NULL ELSE CAST(n_sections AS INT) END AS n_sections, CASE WHEN missing THEN NULL ELSE CAST(n_paragraphs AS INT) END AS n_paragraphs,
+  b.base_id, CASE WHEN missing THEN NULL ELSE b.root = base_root END AS equal,
+  CASE WHEN missing THEN NULL ELSE coalesce(x.v, '') END AS changed_sections, CASE WHEN missing THEN NULL ELSE coalesce(y.v, '') END AS changed_paragraphs, CASE WHEN missing THEN NULL ELSE coalesce(z.v, '') END AS removed_paragraphs
+FROM based b LEFT JOIN (SELECT doc_id, string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) AS v FROM own GROUP BY 1) x USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS v FROM changed GROUP BY 1) y USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS v FROM removed GROUP BY 1) z USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_toxicity": _toxicity(), "op4_exact_dedup": EXACT}
+    return {"op3_toxicity": _toxicity(), "op4_exact_dedup": EXACT, "op8_arc_to_warc": ARC, "op10_merkle": MERKLE}

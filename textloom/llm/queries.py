@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, mixing, near, packing, toxicity
+from . import arc, exact, licences, merkle, mixing, near, packing, planes, toxicity
 from .common import table
 
 
@@ -15,6 +16,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.drawn_copies(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All token ids as compressed byte planes, a row for each block."""
+    return planes.encode_planes(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxic documents with their scores."""
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"))
@@ -30,10 +36,27 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence in every document."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written as an ARC record, as a WARC record."""
+    out = arc.convert(arc.page_records(table(spark, sf_dir, "pages")))
+    return out.withColumnRenamed("id", "page_id").withColumn("record", F.decode("record", "UTF-8"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has near duplicates, with its group."""
     return near.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's root, and where it differs from its base."""
+    found = merkle.fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(F.col(c), ",") for c in ("changed_sections", "changed_paragraphs", "removed_paragraphs")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
