@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, exact, licences, merkle, mixing, near, packing, planes, toxicity
+from . import arc, exact, licences, lm, merkle, mixing, near, packing, planes, toxicity
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model that is trained on all of them."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written as an ARC record, as a WARC record."""
     out = arc.convert(arc.page_records(table(spark, sf_dir, "pages")))
