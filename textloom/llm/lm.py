@@ -45,7 +45,8 @@ PRIOR = 30.0
 STEP = 0.5
 #: Strength of the pull of weights to zero, in counts: what keeps rare features from being learnt by heart.
 RIDGE = 6.0
-CHUNK = 1 << 15
+#: Places whose gradients are added up together, and whose logits are computed together.
+CHUNK, PIECE = 1 << 15, 1 << 11
 #: Rows of one block of gradients.
 BLOCK = 64
 
@@ -213,23 +214,33 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits @ np.ones(logits.shape[1], np.float32)
 
 
-def _logits(bias: np.ndarray, table: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
-    out = table.take(rows[0], 0)
+def _logits(bias: np.ndarray, table: np.ndarray, rows: tuple[np.ndarray, ...], out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``table`` that features name, and the bias, in ``out``."""
+    np.take(table, rows[0], 0, out=out, mode="clip")
     for r in rows[1:]:
-        out += table.take(r, 0)
+        out += np.take(table, r, 0, out=spare, mode="clip")
     out += bias
     return out
 
 
+#: Rows named up to so often in a chunk are added one occurrence of each after another; the others each by a product.
+_SELDOM = 12
+
+
 def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Adds each row of ``values`` to the row of ``into`` that ``rows`` names."""
     order = np.argsort(rows, kind="stable")
     sorted_rows = rows[order]
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-    values = values[order]
+    size = np.diff(np.append(first, len(rows)))
+    seldom, size_seldom = first[size <= _SELDOM], size[size <= _SELDOM]
+    for k in range(int(size_seldom.max(initial=0))):  # no row occurs twice in one step
+        at = seldom[size_seldom > k] + k
+        into[sorted_rows[at]] += values[order[at]]
     ones = np.ones(len(rows), np.float32)
-    for r, a, b in zip(sorted_rows[first].tolist(), first.tolist(), [*first[1:].tolist(), len(rows)]):
-        into[r] += values[a] if b == a + 1 else ones[: b - a] @ values[a:b]
+    often = size > _SELDOM
+    for r, a, n in zip(sorted_rows[first[often]].tolist(), first[often].tolist(), size[often].tolist()):
+        into[r] += ones[:n] @ values[order[a : a + n]]
 
 
 def _blocks(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -282,28 +293,38 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _blocks({"class": class_counts.reshape(WIDTH_C, CLASSES), "member": member_counts.reshape(WIDTH_M, MEMBERS)})
 
 
-def probabilities(m: Model, c: Contexts, at: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Exponentials and their sums for the classes, and for the members of the targets' classes."""
-    classes = _logits(m.class_bias, m.class_rows, tuple(r[at] for r in c.class_rows))
-    members = _logits(m.member_bias.take(c.target_class[at], 0), m.member_rows, tuple(r[at] for r in c.member_rows))
-    return classes, _softmax(classes), members, _softmax(members)
+def probabilities(m: Model, c: Contexts, at: slice) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, and there exponentials and their sums for the classes and for the members of the targets' classes, a few
+    thousand places at a time: what they need stays in the cache."""
+    n = min(PIECE, at.stop - at.start)
+    classes, members, spare = (np.empty((n, k), np.float32) for k in (CLASSES, MEMBERS, max(CLASSES, MEMBERS)))
+    for a in range(at.start, at.stop, PIECE):
+        own = slice(a, min(a + PIECE, at.stop))
+        k = own.stop - own.start
+        x = _logits(m.class_bias, m.class_rows, tuple(r[own] for r in c.class_rows), classes[:k], spare[:k])
+        y = _logits(np.take(m.member_bias, c.target_class[own], 0), m.member_rows, tuple(r[own] for r in c.member_rows), members[:k], spare[:k])
+        yield own, x, _softmax(x), y, _softmax(y)
 
 
 def _gradient(sent):
     def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         class_sums, member_sums = np.zeros(m.class_rows.shape, np.float32), np.zeros(m.member_rows.shape, np.float32)
+        big = np.empty((2, CHUNK, CLASSES), np.float32)
         for own, starts, _ in _parts(batches):
             c = contexts(own, starts)
             for a in range(0, len(own), CHUNK):
-                at = slice(a, a + CHUNK)
-                classes, class_total, members, member_total = probabilities(m, c, at)
-                every = np.arange(len(class_total))
-                for values, total, target, rows, sums in ((classes, class_total, c.target_class[at], c.class_rows, class_sums), (members, member_total, c.target_member[at], c.member_rows, member_sums)):
-                    values *= (-1 / total)[:, None]
-                    values[every, target] += 1
-                    for r in rows:
-                        _add_rows(sums, r[at], values)
+                at = slice(a, min(a + CHUNK, len(own)))
+                for here, classes, class_total, members, member_total in probabilities(m, c, at):
+                    every = np.arange(len(class_total))
+                    for values, total, target, into in ((classes, class_total, c.target_class, big[0]), (members, member_total, c.target_member, big[1])):
+                        part = np.multiply(values, (-1 / total)[:, None], out=into[here.start - a : here.stop - a])
+                        part[every, target[here]] += 1
+                n = at.stop - a
+                for r in c.class_rows:
+                    _add_rows(class_sums, r[at], big[0, :n])
+                for r in c.member_rows:
+                    _add_rows(member_sums, r[at], big[1, :n])
         yield from _blocks({"class": class_sums, "member": member_sums})
 
     return gradient
@@ -361,11 +382,9 @@ def scores(own_units: DataFrame, m: Model) -> DataFrame:
         for own, starts, batch in _parts(batches):
             c = contexts(own, starts)
             logs = np.zeros(len(own) + 1)
-            for a in range(0, len(own), CHUNK):
-                at = slice(a, a + CHUNK)
-                classes, class_total, members, member_total = probabilities(sent.value, c, at)
+            for here, classes, class_total, members, member_total in probabilities(sent.value, c, slice(0, len(own))):
                 every = np.arange(len(class_total))
-                logs[a : a + len(every)] = np.log(classes[every, c.target_class[at]] / class_total) + np.log(members[every, c.target_member[at]] / member_total)
+                logs[here] = np.log(classes[every, c.target_class[here]] / class_total) + np.log(members[every, c.target_member[here]] / member_total)
             sums = np.zeros(len(own) + 1)
             np.cumsum(logs[:-1], out=sums[1:])
             total, n = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts)
