@@ -37,7 +37,7 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     rolling = np.zeros(n, np.uint32)
     gear = _GEAR[data]
-    for k in range(WINDOW):  # the last WINDOW bytes, the newest weighing least
+    for k in range(min(WINDOW, n)):  # the last WINDOW bytes, the newest weighing least
         rolling[k:] += gear[: n - k] << np.uint32(k) if k else gear
     marks = np.flatnonzero((rolling & np.uint32(MASK << 6)) == 0) + 1
     ends: list[int] = []

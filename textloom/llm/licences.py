@@ -1,6 +1,6 @@
 """Licence scans by sentence rules.
 
-A text is cut where sentences end (``. ! ? ; :`` before white space or the end) and at line ends; a sentence is a run of
+A text is cut where sentences end (``. ! ? ;`` before white space, ``:`` before a line end) and at line ends; a sentence is a run of
 lines without a sentence end inside. Normalised, that is in lower case with everything but letters and digits as one blank,
 it is looked up among known licence sentences, so wrapped licence texts, lists and single lines all match; of the runs that
 begin at a line the longest known one counts. The identifiers found, in order, are then matched against licence rules: each
@@ -124,7 +124,7 @@ RULES: tuple[Rule, ...] = tuple(
 )
 
 _WORD = re.compile(r"[^\W_]+")
-_BOUND = re.compile(r"[.!?;:]+(?=\s|$)|\n")
+_BOUND = re.compile(r"[.!?;]+(?=\s|$)|:(?=[^\S\n]*(?:\n|$))|\n")
 _NUMBER = re.compile(r"\d+(?: \d+)*")
 
 

@@ -88,7 +88,7 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     weight = F.pow(F.col("chars").cast("double"), F.lit(temperature)) if weights is None else _given(weights)
     per = per.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(0.0))
     total = per.agg(F.sum("weight").alias("all_weights"), F.sum("chars").alias("all_chars"))
-    rate = F.when(F.col("chars") > 0, F.col("weight") / F.col("all_weights") * F.col("all_chars") * epochs / F.col("chars")).otherwise(1.0)
+    rate = F.when(F.col("chars") > 0, F.try_divide("weight", "all_weights") * F.col("all_chars") * epochs / F.col("chars")).otherwise(1.0)
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / bucket_rows))).cast("int")
     return per.crossJoin(total).select("source", _source_id().alias("source_id"), "n_docs", "chars", F.coalesce(rate, F.lit(0.0)).alias("rate"), bits.alias("bits"))
 

@@ -10,8 +10,8 @@ documents that are clearly its copies along: they are linked to it, and nodes th
 
 Comparisons estimate similarity with a margin (MARGIN), and every link is then verified on the whole sets. Documents with
 equal sets are one from the start. Links become groups by alternating large and small stars, each round written to the
-shared folder. All documents are queries; no number of partners is capped: of a node's links those of a maximal spanning
-forest go to verification, which is what groups need.
+shared folder. All documents are queries; no number of partners is capped. Of the pairs in a node that are clearly alike a
+spanning forest goes to verification, which is what groups need; of the others all whose ends it doesn't connect.
 
 Defined results: a text without words, a null text and a null doc_id take no part (their rows stay); a text of fewer words
 than SHINGLE is one shingle; texts are read whole; rows that repeat a doc_id are one document, of which equal rows stay
@@ -36,8 +36,8 @@ COORDINATES = 64
 TREES = 5
 BRANCHES = 2
 MARGIN = 0.15
-#: Estimates this far above the threshold are taken for copies while branching (four standard deviations).
-CLEAR = 0.25
+#: Estimates this far above the threshold are clear: more than three standard deviations.
+CLEAR = 0.2
 SMALL = 160
 TINY = 12
 MOST_ROWS = 100_000
@@ -134,10 +134,20 @@ class Forest:
         return x != y
 
 
-def _spanning(forest: Forest, i: np.ndarray, j: np.ndarray, alike: np.ndarray) -> list[tuple[int, int]]:
-    """The edges of a maximal spanning forest, the most alike first."""
-    order = np.lexsort((j, i, -alike))
-    return [(x, y) for x, y in zip(i[order].tolist(), j[order].tolist()) if forest.join(x, y)]
+def _linking(forest: Forest, i: np.ndarray, j: np.ndarray, alike: np.ndarray, clear: float) -> list[tuple[int, int]]:
+    """The pairs that verification has to see: of clear ones a spanning forest, the most alike first; of the others all that
+    clear pairs don't connect, since each of them may be the one that holds."""
+    sure = np.flatnonzero(alike >= clear)
+    sure = sure[np.lexsort((j[sure], i[sure], -alike[sure]))]
+    out = [(x, y) for x, y in zip(i[sure].tolist(), j[sure].tolist()) if forest.join(x, y)]
+    rest = alike < clear
+    i, j = i[rest], j[rest]
+    if len(i):
+        rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        roots = np.array([forest.root(x) for x in rows.tolist()])[at]
+        apart = roots[: len(i)] != roots[len(i) :]
+        out += zip(i[apart].tolist(), j[apart].tolist())
+    return out
 
 
 def compare_node(sig: np.ndarray, seed: int, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -179,7 +189,7 @@ def compare_node(sig: np.ndarray, seed: int, threshold: float = THRESHOLD) -> li
                 if len(part) > 1:
                     stack.append((rows[part], depth + 1 if len(part) < n else DEEPEST, (seed * 1000003 + c * 257 + int(own[part[0], c])) & 0x7FFFFFFF))
     if found_i:
-        out += _spanning(forest, *map(np.concatenate, (found_i, found_j, found_alike)))
+        out += _linking(forest, *map(np.concatenate, (found_i, found_j, found_alike)), clear)
     return out
 
 
@@ -226,7 +236,7 @@ def _compared(threshold: float, most_rows: int):
             j.append(x + k)
             alike.append(same)
         if i:
-            out += _spanning(Forest(len(node)), *map(np.concatenate, (i, j, alike)))
+            out += _linking(Forest(len(node)), *map(np.concatenate, (i, j, alike)), clear)
         for at, n in zip(first[size > TINY].tolist(), size[size > TINY].tolist()):
             out += [(at + x, at + y) for x, y in compare_node(sig[at : at + n], int(node[at]) & 0x7FFFFFFF, threshold)]
         if out:
