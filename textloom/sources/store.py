@@ -24,9 +24,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table: executors that are lost later cost nothing but their running tasks."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a table deleted when the application ends, in whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def derived(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
     """The table of ``key``, built at its first use in this application."""
     key = (spark.sparkContext.applicationId, *key)
