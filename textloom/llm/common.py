@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,46 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 #: Texts are handled in slices of about so many characters, so that the arrays of a slice stay near the cache.
 SLICE_CHARS = 1 << 19
 
-_written: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here to a temporary one only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and spark.sparkContext.getCheckpointDir():
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="textloom-shared-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing but its running tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables ``settle`` wrote so far. Call it only when every result that reads them has been written."""
-    fs_of = spark._jvm.org.apache.hadoop.fs.Path
-    while _written:
-        path = fs_of(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop_local(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+    """Write a table to the folder that all executors share and read it back: lineage ends there, so a lost executor costs
+    nothing but its running tasks. Tables are deleted when the application ends."""
+    return written(df, label)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -168,10 +139,6 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(low, begin, end), np.searchsorted(begin, starts)
 
 
-def arrow_texts(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
-    return column.to_pylist()
-
-
 # ---------------------------------------------------------------- keeping and dropping rows
 
 #: A table of decisions is sent to every executor up to this many rows (16 bytes each); beyond it, it is joined in a shuffle.
