@@ -230,15 +230,23 @@ def similar_collocations(corpus: Corpus, query: str, level: str | None = None, l
     second = context_rows(corpus, holders, level, local_how).select("term").distinct()
     if second_terms:
         second = second_terms(second)
-    third = nested_vectors(corpus, second, level, local_how, limit_query)
-    own = first.select("term", F.col("weight").alias("y"))
-    # a vector's terms that the first lacks count through the vector's sums
-    sums = third.groupBy("base").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("ss"))
-    meet = third.join(F.broadcast(own) if first_limit != -1 else own, "term")
+    # pairs of terms are made, added up and squared as pairs of numbers
+    ids = corpus.term_ids(level)
+    second = second.join(ids, "term")
+    rows = corpus.doc_terms(level)
+    if limit_query:
+        rows = rows.join(compiled(corpus, limit_query, level).hits.select(*keys), keys, "left_semi")
+    base = rows.join(second, "term").select(*keys, F.col("term_id").alias("base"))
+    near = context_rows(corpus, base.select(*keys).distinct(), level, local_how).join(ids, "term").select(*keys, "term_id", "f")
+    third = base.join(near, keys).groupBy("base", "term_id").agg(F.sum("f").cast("double").alias("weight"))
+    own = first.join(ids, "term").select("term_id", F.col("weight").alias("y"))
+    # what a vector has of the first's terms, and its sums, in one pass over it
     x, y = F.col("weight"), F.col("y")
-    meet = meet.groupBy("base").agg(F.sum(x * y).alias("xy"), F.sum(F.least(x, y)).alias("low"), F.sum(F.abs(x - y) - x - y).alias("off"))
+    there = third.join(F.broadcast(own) if first_limit != -1 else own, "term_id", "left")
+    both = lambda c: F.sum(F.when(y.isNotNull(), c))
+    sums = there.groupBy("base").agg(F.sum(x).alias("s"), F.sum(x * x).alias("ss"), both(x * y).alias("xy"), both(F.least(x, y)).alias("low"), both(F.abs(x - y) - x - y).alias("off"))
     total = own.agg(F.sum("y").alias("t"), F.sum(y * y).alias("tt"))
-    rows = second.select(F.col("term").alias("base")).join(sums, "base", "left").join(meet, "base", "left").fillna(0.0, ["s", "ss", "xy", "low", "off"]).crossJoin(F.broadcast(total))
+    rows = second.join(sums, second["term_id"] == sums["base"], "left").fillna(0.0, ["s", "ss", "xy", "low", "off"]).crossJoin(F.broadcast(total))
     empty = F.col("s") == 0
     all_weight = F.col("s") + F.col("t")
     metrics = {
@@ -248,7 +256,7 @@ def similar_collocations(corpus: Corpus, query: str, level: str | None = None, l
         "euclidean": F.sqrt(F.greatest(F.lit(0.0), F.col("ss") + F.col("tt") - 2 * F.col("xy"))),
         "manhattan": F.sqrt(F.greatest(F.lit(0.0), all_weight + F.col("off"))),
     }
-    tall = rows.select(F.col("base").alias("term"), F.explode(F.create_map(*[c for k, d in metrics.items() for c in (F.lit(k), F.round(F.when(empty, 1.0).otherwise(d), 9))])).alias("metric", "distance"))
+    tall = rows.select("term", F.explode(F.create_map(*[c for k, d in metrics.items() for c in (F.lit(k), F.round(F.when(empty, 1.0).otherwise(d), 9))])).alias("metric", "distance"))
     rank = F.row_number().over(Window.partitionBy("metric").orderBy("distance", "term"))
     return tall.withColumn("rank", rank).filter(F.col("rank") <= limit).select("metric", "rank", "term", "distance")
 

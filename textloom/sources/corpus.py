@@ -115,6 +115,11 @@ class Corpus:
         own = self.level(level)
         return self._derived("term_stats", own.id, lambda: self.doc_terms(own.id).groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("total_term_freq")))
 
+    def term_ids(self, level: str | None = None) -> DataFrame:
+        """``term, term_id``: a number for each term, drawn once as the table is written; for joins of many term pairs."""
+        own = self.level(level)
+        return self._derived("term_ids", own.id, lambda: self.term_stats(own.id).select("term", F.monotonically_increasing_id().alias("term_id")))
+
     def lengths(self, level: str | None = None) -> DataFrame:
         """``keys, n_tokens`` of every row; 0 without terms."""
         own = self.level(level)
