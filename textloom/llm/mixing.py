@@ -85,6 +85,7 @@ def _source_id() -> Column:
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``source, source_id, n_docs, chars, rate, bits``: a row for each source; its documents fall into 2^bits buckets."""
     per = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("chars"))
+    per = settle(per, "sources")  # its total is taken from it and not from another scan
     weight = F.pow(F.col("chars").cast("double"), F.lit(temperature)) if weights is None else _given(weights)
     per = per.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(0.0))
     total = per.agg(F.sum("weight").alias("all_weights"), F.sum("chars").alias("all_chars"))
