@@ -139,8 +139,9 @@ def _groups(docs: DataFrame) -> DataFrame:
     listed = verified_identifiers(chunks).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("seq", "hash", "rank"))).alias("list"))
     # an empty text has no chunks: its list is empty
     lists = wanted.join(listed, ["doc_id", "key"], "left").withColumn("list", F.coalesce("list", F.expr("cast(array() as array<struct<seq:long,hash:long,rank:int>>)")))
-    groups = lists.groupBy("list").agg(F.collect_list(F.struct("doc_id", "key", "times")).alias("rows"), F.min("doc_id").alias("first_id"), F.sum("times").alias("copies"))
-    return groups.filter("copies > 1").select(F.explode("rows").alias("row"), "first_id", "copies").select("row.*", "first_id", "copies")
+    lists = settle(lists.withColumn("sum", F.xxhash64("list")), "lists")
+    groups = lists.groupBy("sum", "list").agg(F.min("doc_id").alias("first_id"), F.sum("times").alias("copies")).filter("copies > 1")
+    return lists.join(groups, ["sum", "list"]).select("doc_id", "key", "times", "first_id", "copies")
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
