@@ -40,6 +40,17 @@ class Level:
     frame: Callable[[], DataFrame]
     description: str = ""
     fields: dict[str, FieldInfo] = field(default_factory=dict)
+    #: Keys and content alone, where that takes less than ``frame``.
+    texts: Callable[[], DataFrame] | None = None
+
+    def text_rows(self, content: str) -> DataFrame:
+        return spread(self.texts().select(*self.keys, content)) if self.texts else self.frame()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table's scan over all cores where it has fewer parts than these; a larger one is as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 class Corpus:
@@ -94,16 +105,16 @@ class Corpus:
 
         def build() -> DataFrame:
             if analyzer := self.analyzers.get(self.content):
-                rows = own.frame().select(*own.keys, F.posexplode(analyzer(F.col(self.content))).alias("pos", "term"))
+                rows = own.text_rows(self.content).select(*own.keys, F.posexplode(analyzer(F.col(self.content))).alias("pos", "term"))
                 return rows.filter("term <> ''")
-            return text_functions.tokens(own.frame(), own.keys, self.content)
+            return text_functions.tokens(own.text_rows(self.content), own.keys, self.content)
 
         return self._derived("tokens", own.id, build)
 
     def places(self, level: str | None = None) -> DataFrame:
         """``keys, pos, term, start, end``."""
         own = self.level(level)
-        return self._derived("places", own.id, lambda: text_functions.tokens_with_places(own.frame(), own.keys, self.content))
+        return self._derived("places", own.id, lambda: text_functions.tokens_with_places(own.text_rows(self.content), own.keys, self.content))
 
     def doc_terms(self, level: str | None = None) -> DataFrame:
         """``keys, term, tf``: files are sorted by term, so a term's filter skips row groups."""
@@ -198,7 +209,7 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
     return Corpus(spark, f"{sf_dir}/documents", [
         Level("SOURCE", ["source"], lambda: docs.groupBy("source").agg(F.count("*").alias("n_docs"))),
-        Level("DOCUMENT", ["doc_id"], documents),
+        Level("DOCUMENT", ["doc_id"], documents, texts=lambda: docs),
         Level("LINE", ["doc_id", "line_no"], split("LINE", "line_no")),
         Level("SENTENCE", ["doc_id", "sent_no"], split("SENTENCE", "sent_no")),
     ], default_level="DOCUMENT")
