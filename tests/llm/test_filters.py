@@ -170,6 +170,31 @@ def test_near_copies_against_brute_force(frame, most_rows):
     assert set(found) <= set(groups)  # no clean document is in a group
 
 
+@pytest.fixture
+def small_batches(spark):
+    """A node that comes in one batch is compared whatever its size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_copies_of_copies_in_nodes_too_large_for_a_task(frame, small_batches):
+    """Each y is near its x alone, and x is clearly a copy of the pivot that all share, which y isn't near."""
+    word = iter(f"w{k}" for k in range(10_000)).__next__
+    common = [word() for _ in range(300)]
+    rows, chains = [(0, " ".join(common))], []
+    for k in range(1, 41):
+        own = [word() for _ in range(30)]
+        rows += [(k, " ".join(common[30:] + own)), (100 + k, " ".join(common[120:] + own + [word() for _ in range(70)]))]
+        chains.append((k, 100 + k))
+    pairs, _ = brute_groups(rows)
+    assert set(chains) <= set(pairs) and not any(x > 100 or y > 100 for x, y in set(pairs) - set(chains))
+    for most_rows in (near.MOST_ROWS, 20):
+        found = {r.doc_id: r.first_id for r in near.near_groups(frame(rows), most_rows=most_rows).collect()}
+        together = [found.get(x, -1) == found.get(y, -2) for x, y in chains]
+        assert sum(together) >= 0.9 * len(chains), (most_rows, sum(together))
+
+
 def test_near_copies_of_the_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     _, groups = brute_groups([(r.doc_id, r.text) for r in docs.collect()])

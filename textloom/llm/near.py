@@ -5,8 +5,9 @@ similarity of their sets is THRESHOLD or more. COORDINATES minwise tokens stand
 trees branches recursively: a node chooses BRANCHES of the coordinates, and the documents that agree in one go to the same
 child. With 1/THRESHOLD branches a pair at the threshold is expected to share a child at every level, and dissimilar pairs
 part. A node of SMALL documents or fewer is compared exhaustively; one of up to MOST_ROWS is branched further inside its
-task; one beyond that is branched by another shuffle, so no node has to fit anywhere. In a large node a pivot takes all
-documents that are clearly its copies along: they are linked to it, and nodes that hold linked documents alone end.
+task; one beyond that is cut into blocks, each pair of blocks a node of MOST_ROWS at most that another shuffle brings
+together, so all its documents meet and no node has to fit anywhere. In a large node a pivot takes all documents that are
+clearly its copies along: they are linked to it, and nodes that hold linked documents alone end.
 
 Comparisons estimate similarity with a margin (MARGIN), and every link is then verified on the whole sets. Documents with
 equal sets are one from the start. Links become groups by alternating large and small stars, each round written to the
@@ -201,20 +202,25 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, pa.nulls(len(a), pa.binary())], ["a", "b", "node", "doc_id", "sig"])
 
 
-def _branched(node: int, docs: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-    """Rows of a node too large for a task, one for each of its children that they go to."""
-    rng = np.random.default_rng([node & 0x7FFFFFFF, (node >> 31) & 0x7FFFFFFF])
-    parts = []
-    for c in rng.choice(COORDINATES, BRANCHES, replace=False).tolist():
-        parts.append(mix(sig[:, c].astype(np.uint64) + np.uint64((node ^ (c * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
-    n = len(docs) * BRANCHES
-    twice = np.concatenate([sig] * BRANCHES)
+def _passed(node: int, place: int, docs: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+    """Rows of a node too large for a task, as they are; ``a`` is their place in it, from ``place`` on."""
+    n = len(docs)
     return pa.RecordBatch.from_arrays(
-        [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.concatenate(parts)), pa.array(np.concatenate([docs] * BRANCHES)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), n, [None, pa.py_buffer(twice)]).cast(pa.binary())],
+        [pa.array(np.arange(place, place + n)), pa.nulls(n, pa.int64()), pa.array(np.full(n, node)), pa.array(docs), pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), n, [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())],
         ["a", "b", "node", "doc_id", "sig"],
     )
 
 
+def _block_pairs(passed: DataFrame, most_rows: int) -> DataFrame:
+    """Nodes of ``most_rows`` or fewer in which any two rows of a passed node meet: the pairs of its blocks."""
+    size = most_rows // 2
+    blocks = passed.groupBy("node").agg(F.floor(F.max("a") / size).alias("last"))
+    own = F.floor(F.col("a") / size)
+    rows = passed.join(F.broadcast(blocks), "node").withColumn("own", own)  # a row for each node that was too large
+    rows = rows.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), "last"), lambda x: x != F.col("own"))))
+    return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "sig")
+
+
 def _compared(threshold: float, most_rows: int):
     least, clear = (threshold - MARGIN) * COORDINATES, min(threshold + CLEAR, 0.97) * COORDINATES
 
@@ -245,60 +251,54 @@ def _compared(threshold: float, most_rows: int):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held_rows, open_node, pivot = 0, None, None
+        held_rows, open_node, place = 0, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             node, docs = batch.column("node").to_numpy(), batch.column("doc_id").to_numpy()
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            if pivot is not None:  # the open node is being branched
+            if place:  # the open node is being passed on
                 more = int(np.searchsorted(node != open_node, True)) if node[-1] != open_node else len(node)
-                yield from oversized(open_node, pivot, docs[:more], sig[:more])
+                if more:
+                    yield _passed(open_node, place, docs[:more], sig[:more])
+                    place += more
                 node, docs, sig = node[more:], docs[more:], sig[more:]
                 if not len(node):
                     continue
-                pivot = None
+                place = 0
             held.append((node, docs, sig))
             held_rows += len(node)
             tail = len(node) - int(np.searchsorted(node == node[-1], True)) if node[0] != node[-1] else len(node)
-            if tail < len(node):  # all but the last node are whole
+            if tail < len(node) or held[0][0][0] != node[0]:  # all but the last node are whole
                 node, docs, sig = map(np.concatenate, zip(*held))
                 cut = len(node) - tail
                 yield from whole_nodes(node[:cut], docs[:cut], sig[:cut])
                 held, held_rows = [(node[cut:], docs[cut:], sig[cut:])], tail
             if held_rows > most_rows:
                 node, docs, sig = map(np.concatenate, zip(*held))
-                open_node, pivot = int(node[0]), (docs[0], sig[0])
-                yield from oversized(open_node, pivot, docs[1:], sig[1:])
+                open_node, place = int(node[0]), len(node)
+                yield _passed(open_node, 0, docs, sig)
                 held, held_rows = [], 0
         if held:
             yield from whole_nodes(*map(np.concatenate, zip(*held)))
 
-    def oversized(node: int, pivot: tuple, docs: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(docs):
-            return
-        alike = (sig == pivot[1]).sum(1)
-        near = alike >= least
-        if near.any():
-            yield _pairs(np.full(near.sum(), pivot[0]), docs[near])
-        rest = alike < clear
-        if rest.any():
-            yield _branched(node, docs[rest], sig[rest])
-
     return compare
 
 
 def candidate_links(sketches: DataFrame, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:
     """``a, b`` (a < b): links to be verified."""
+    if most_rows < 2:
+        raise ValueError("two rows have to meet in a node: most_rows is 2 at least")
     entries = sketches.select(F.explode("nodes").alias("node"), "doc_id", "sig")
     links = []
     while True:
         found = entries.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(_compared(threshold, most_rows), PAIRS)
         found = settle(found, "links")
         links.append(found.filter("node is null").select("a", "b"))
-        entries = found.filter("node is not null").select("node", "doc_id", "sig")
-        if entries.isEmpty():
+        passed = found.filter("node is not null").select("a", "node", "doc_id", "sig")
+        if passed.isEmpty():
             return reduce(DataFrame.unionByName, links).filter("a <> b").distinct()
+        entries = _block_pairs(passed, most_rows)
 
 
 # ---------------------------------------------------------------- verification and groups
