@@ -235,6 +235,26 @@ def test_fingerprints_odd_rows(frame, odd):
     assert merkle.fingerprints(frame([])).count() == 0
 
 
+def test_partners_through_all_paragraphs(frame, odd):
+    a, b, c, longest = "one line here", "a second line", "the third of lines", "by far the longest paragraph of this text"
+    rows = [(1, "\n".join([a, b, c, longest])), (2, "\n".join([a, b, c, longest + " edited"])), (3, "\n".join([a, "other", c + " and more, so that it is the longest one"])), (4, "alone"), (5, "\n".join([a, b, c, longest])), (6, None), (None, a), (7, "alone, edited")]
+    got = {r.doc_id: r for r in merkle.partners(frame(rows)).collect()}
+    assert len(got) == len(rows)
+    assert {k: (r.base_id, r.shared, r.equal) for k, r in got.items() if k} == {1: (None, None, None), 2: (1, 3, False), 3: (1, 1, False), 4: (None, None, None), 5: (1, 4, True), 6: (None, None, None), 7: (None, None, None)}
+    assert got[2].changed_paragraphs == [3] == got[2].removed_paragraphs and got[4].changed_sections is None
+    assert merkle.partners(frame(odd)).count() == len(odd) and merkle.partners(frame([])).count() == 0
+
+
+def test_partners_against_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    trees = {r.doc_id: merkle.tree(r.text) for r in docs.collect() if r.text is not None}
+    want = {}
+    for x, t in trees.items():
+        ranked = [(-len(set(t[3]) & set(o[3])), o[0] != t[0], y) for y, o in trees.items() if y < x and (o[0] == t[0] or set(t[3]) & set(o[3]))]
+        want[x] = (min(ranked)[2], -min(ranked)[0]) if ranked else (None, None)
+    assert {r.doc_id: (r.base_id, r.shared) for r in merkle.partners(docs).collect() if r.doc_id in trees} == want
+
+
 # ---------------------------------------------------------------- language model
 
 

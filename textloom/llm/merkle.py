@@ -7,7 +7,8 @@ hashes. Equal roots are equal trees; where roots differ, sections that the other
 no others.
 
 A document is compared with its base: the least doc_id among those that share its longest paragraph (of equally long ones
-that with the least hash). ``compare`` does so for any pairs.
+that with the least hash). ``compare`` does so for any pairs. ``partners`` looks for the base through all paragraphs: the
+earlier document that shares most of them, and null where no earlier one shares any.
 
 Defined results: a null text has a null tree and no base; a text without paragraphs is a root without sections, and all
 such texts have one base; texts are hashed whole; rows that repeat a doc_id are rows each, and of a base's rows the one
@@ -115,3 +116,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     bases = firsts.join(bases, ["base_id", "first_root", "longest"]).dropDuplicates(["longest"]).drop("first_root")
     found = compare(all_trees.join(bases, "longest", "left"))
     return found.select("doc_id", "root", F.size("sections").alias("n_sections"), F.size("paragraphs").alias("n_paragraphs"), "base_id", "equal", "changed_sections", "changed_paragraphs", "removed_paragraphs")
+
+
+def most_shared(named: DataFrame) -> DataFrame:
+    """``root, base_id, base_root, shared`` of each tree that an earlier and different one shares paragraphs with: that which
+    shares most different ones, of those the least doc_id. Trees count once, by their least doc_id."""
+    firsts = named.groupBy("root").agg(F.min("doc_id").alias("id"), F.first("paragraphs").alias("paragraphs"))
+    leaves = settle(firsts.select("id", "root", F.explode(F.array_distinct("paragraphs")).alias("leaf")), "leaves")
+    # paragraphs of the very same trees are joined as one of their number
+    of = F.xxhash64("root")
+    places = leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.bit_xor(of).alias("x"), F.sum(of.cast("decimal(38,0)")).alias("y")).filter("n > 1")
+    same = places.groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf"), F.count("*").alias("weight")).select("leaf", "weight")
+    held = settle(leaves.join(same, "leaf"), "shared_leaves")
+    other = held.select("leaf", F.col("id").alias("base_id"), F.col("root").alias("base_root"))
+    pairs = held.join(other, "leaf").filter("base_id < id").groupBy("root", "base_id", "base_root").agg(F.sum("weight").alias("shared"))
+    best = pairs.groupBy("root").agg(F.min(F.struct((-F.col("shared")).alias("less"), "base_id", "base_root")).alias("best"))
+    return best.select("root", "best.base_id", "best.base_root", (-F.col("best.less")).alias("shared"))
+
+
+def partners(docs: DataFrame) -> DataFrame:
+    """``doc_id, root, base_id, shared, equal, changed_sections, changed_paragraphs, removed_paragraphs``: each document beside the
+    earlier one that shares most different paragraphs with it (``shared`` of them), an equal one before others; nulls where
+    there is none. A row with a null doc_id is compared with an equal document only."""
+    all_trees = settle(trees(docs), "trees")
+    named = all_trees.filter("doc_id is not null and root is not null")
+    first = named.groupBy("root").agg(F.min("doc_id").alias("first_id"), F.first(F.size(F.array_distinct("paragraphs"))).cast("long").alias("own"))
+    found = first.join(most_shared(named).withColumnRenamed("base_id", "found_id").withColumnRenamed("base_root", "found_root"), "root", "left")
+    # a null doc_id comes after all others
+    copy = F.col("first_id").isNotNull() & F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(True))
+    rows = all_trees.join(found, "root", "left").withColumn("copy", copy)
+    for name, if_copy, otherwise in (("base_id", "first_id", "found_id"), ("their_root", "root", "found_root"), ("shared", "own", "shared")):
+        rows = rows.withColumn(name, F.when(F.col("copy"), F.col(if_copy)).otherwise(F.col(otherwise)))
+    own = ["root", "sections", "section_ends", "paragraphs"]
+    bases = named.dropDuplicates(["root"]).select(F.col("root").alias("their_root"), *[F.col(c).alias(f"base_{c}") for c in own])
+    return compare(rows.join(bases, "their_root", "left")).select("doc_id", "root", "base_id", "shared", "equal", "changed_sections", "changed_paragraphs", "removed_paragraphs")

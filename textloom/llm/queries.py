@@ -63,5 +63,11 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(F.col(c), ",") for c in ("changed_sections", "changed_paragraphs", "removed_paragraphs")})
 
 
+def op10_merkle_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document differs from the earlier one that shares most paragraphs with it."""
+    found = merkle.partners(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(F.col(c), ",") for c in ("changed_sections", "changed_paragraphs", "removed_paragraphs")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
