@@ -14,8 +14,8 @@ from textloom.llm.common import settle, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon rejects go."""
-    return toxicity.drop_toxic(docs)
+    """Documents that the lexicon, made by hand and learnt from ``labels``, rejects go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Toxicity, exact copies, near copies, against brute force and on odd rows."""
 
+import hashlib
+import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -17,47 +20,194 @@ def rows_of(df):
 # ---------------------------------------------------------------- toxicity
 
 
-def brute_score(text):
-    """By regular expressions over the folded text."""
-    folded = toxicity.fold(text).decode()
-    for p in sorted(toxicity.EXCEPTIONS, key=len, reverse=True):
-        folded = re.sub(rf"\b{toxicity._folded(p)}\b", lambda m: " " * len(m.group()), folded)
-    total = sum(w * len(re.findall(rf"\b{toxicity._folded(t)}\b", folded)) for t, w in toxicity.LEXICON.items())
-    return 1000 * total / max(len(text), toxicity.FLOOR_CHARS)
+ALIKE = {
+    "a": "а@4", "b": "ь8", "c": "с", "e": "е3", "i": "іl1|", "o": "о0", "p": "р", "s": "ѕ$5ß", "t": "т7", "u": "υ", "y": "у",
+}
 
 
-TOXIC = ["You are an idiot.", "you 1D10T", "such a cl0wn", "mor0n, L0SER!", "іdіоt in other letters", "Ídiöt", "stуpid" "", "(scum)"]
-CLEAN = ["the trash can is full", "a clown fish", "idiotic", "classic", "scumbled paint", "password=1d1, ab12", "a guinea pig", "", "nothing"]
+def brute_fold(text):
+    """A character at a time."""
+    to = {c: k for k, v in ALIKE.items() for c in v}
+    out = ""
+    for c in unicodedata.normalize("NFKD", re.sub("[\u00ad\u200b-\u200f\u2060\ufeff]", "", text).replace("ß", "s")).lower():
+        if unicodedata.category(c) != "Mn":
+            c = to.get(c, c)
+            out += c if re.match("[a-z0-9]", c) else " "
+    return re.sub(r"([a-z])\1\1+", r"\1", re.sub(" +", " ", out)).strip()
+
+
+def brute_hits(text, lang, lexicon=toxicity.LEXICON, exceptions=toxicity.EXCEPTIONS, beginnings=None):
+    """Weights of the terms that count: every term at every word."""
+    words = brute_fold(text).split()
+    terms = []
+    for (own, term), weight in lexicon.items():
+        folded = brute_fold(term)
+        single = re.sub(r"(.)\1", r"\1", folded)
+        for x in {folded, single}:
+            terms.append((own, x.split(), weight))
+            if len(x) > 3 and " " not in x:
+                terms.append((own, list(x), weight))
+    safe = [(k, k + len(p)) for p in (brute_fold(x).split() for x in exceptions) for k in range(len(words)) if words[k : k + len(p)] == p]
+    out = []
+    for k in range(len(words)):
+        found = [(w, k + len(t)) for own, t, w in terms if own in ("", lang) and words[k : k + len(t)] == t]
+        found += [(w, k + 1) for (own, p), w in (beginnings or {}).items() if own == lang and (words[k] + " ").startswith(p)]
+        if found and not any(a <= k and max(found)[1] <= b for a, b in safe):
+            out.append(max(found)[0])
+    return out
+
+
+def brute_score(text, lang, **lists):
+    return 1000 * sum(brute_hits(text, lang, **lists)) / max(len(text), toxicity.FLOOR_CHARS)
+
+
+TOXIC = [
+    "You are an idiot.", "you 1D10T", "such a cl0wn", "mor0n, L0SER!", "іdіоt in other letters", "Ídiöt", "sтupid", "(scum)", "idi\u0308ot", "id\u00adiot", "i\u200bdiot",
+    "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "ｉｄｉｏｔ", "i d i o t", "i.d.i.o.t", "idiooot", "IDIIIIOT", "assssshole", "ashole", "stupid_thing", "kill  yourself", "go\ndie",
+]
+CLEAN = [
+    "the trash can is full", "a clown fish", "idiotic", "classic", "scumbled paint", "password=1d1, ab12", "a guinea pig", "", "nothing", "i d i o", "id iot", "arschloch", "looser", "the take out the trash can",
+]
+
+
+def found_in(text, lang="en", **lists):
+    matcher = toxicity.Matcher(lists.pop("lexicon", toxicity.LEXICON), lists.pop("exceptions", toxicity.EXCEPTIONS), **lists)
+    return matcher.found(*toxicity._fold(["before. idiot", text, "idiot"]), ["en", lang, "en"]).get(1, [])
 
 
 @pytest.mark.parametrize("text", TOXIC + CLEAN)
 def test_toxicity_of_phrases(text):
-    found = toxicity.Matcher(toxicity.LEXICON, toxicity.EXCEPTIONS).found(toxicity.fold(text).decode())
-    assert 1000 * sum(found) / max(len(text), toxicity.FLOOR_CHARS) == pytest.approx(brute_score(text))
-    if text in CLEAN:
-        assert not found
-    elif "у" not in text:
-        assert found
+    assert toxicity.fold(text) == brute_fold(text)
+    found = found_in(text)
+    assert sorted(found) == sorted(brute_hits(text, "en"))
+    assert bool(found) == (text in TOXIC)
+
+
+def test_toxicity_by_language_and_overlap():
+    assert found_in("du arschloch", "de") and not found_in("du arschloch", "fr")
+    assert found_in("piece of shit") == [1.5]
+    lists = {"lexicon": {("", "a b"): 1.0, ("", "b c"): 2.0, ("", "a b c"): 4.0, ("en", "b"): 3.0}, "exceptions": ("b c", "x a b", "c y")}
+    assert found_in("a b d", **lists) == [1.0, 3.0]
+    assert found_in("a b c", **lists) == [4.0]  # b c is covered, a b c isn't
+    assert found_in("x a b d", **lists) == []
+    assert found_in("x a b c y", **lists) == [4.0]  # two phrases cover it only together
+    own = {"lexicon": {}, "exceptions": (), "beginnings": {("en", "foob"): 1.0, ("en", "bar "): 2.0}}
+    assert found_in("foobar bar barn foo", **own) == [1.0, 2.0] and found_in("foobar", "de", **own) == []
+
+
+def brute_learned(rows, labels):
+    """(language, beginning) -> weight by plain loops: all ways to choose entries are tried by recursion over the tree."""
+    marks = {}
+    for i, x in labels:
+        if i is not None and x is not None:
+            marks[i] = max(x, marks.get(i, 0))
+    firsts = {}
+    for i, lang, text in sorted((r for r in rows if r[0] in marks), key=lambda r: r[0]):
+        words = brute_fold(text or "").split()
+        if words:
+            firsts.setdefault((lang or "", marks[i], min(words, key=lambda w: (-len(w), w))), set(words))
+    out = {}
+    for lang in {k[0] for k in firsts}:
+        counts = {0: Counter(), 1: Counter()}
+        totals = [0, 0]
+        for (own, toxic, _), words in firsts.items():
+            if own == lang:
+                totals[toxic] += len(words)
+                counts[toxic].update(w[:k] for w in (x + " " for x in words) for k in range(3, min(12, len(w)) + 1))
+        gains = {}
+        for p, t in counts[1].items():
+            if t >= 3 and all(totals):
+                toxic, clean = t / totals[1], (counts[0][p] + 1) / totals[0]
+                if toxic > clean and (gain := t * math.log(toxic / clean) - totals[1] * (toxic - clean) - 10) > 0:
+                    gains[p] = (gain, math.log(toxic / clean) / 12)
+        inner = {p[:k] for p in gains for k in range(3, len(p))}
+
+        def best(p):
+            below = [best(q) for q in {q for q in inner | set(gains) if len(q) == len(p) + 1 and q.startswith(p)}]
+            rest = sum(x[0] for x in below), [y for x in below for y in x[1]]
+            own = gains.get(p, (0, 0))[0]
+            return (own, [p]) if own > rest[0] + 1e-6 else rest
+
+        for root in {p[:3] for p in gains}:
+            out |= {(lang, p): gains[p][1] for p in best(root)[1]}
+    return out
+
+
+@pytest.fixture
+def marked(spark):
+    """Documents in two languages whose toxic ones have words that begin alike, and labels."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices(["ba", "do", "ki", "lu", "me"], k=rng.randint(1, 4)))
+    rows, labels = [], []
+    for i in range(600):
+        lang, toxic = rng.choice(["xx", "yy", None]), int(rng.random() < 0.25)
+        words = [word() for _ in range(rng.randint(5, 60))]
+        if toxic:
+            step = rng.randint(3, 9)
+            words[::step] = [("zut" if lang == "xx" else "pfui") + word() for _ in words[::step]]
+        rows.append((i, lang, " ".join(words)))
+        if i % 2:
+            labels.append((i, toxic))
+    rows += [(1000, "xx", None), (1001, "xx", ""), (None, "xx", "zutba")]
+    labels += [(1000, 1), (1001, 0), (None, 1), (2, None), (4000, 1), (1, 1), (1, 0)]
+    return rows, labels, spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_learned_terms_against_brute_force(marked, spark):
+    rows, labels, docs, marks = marked
+    got, want = toxicity.learned(docs, marks), brute_learned(rows, labels)
+    assert got == pytest.approx(want) and ("xx", "zut") in got and len({k for k, _ in got}) == 3
+    assert toxicity.learned(docs, marks.limit(0)) == {} == toxicity.learned(docs, marks.filter("toxic = 0"))
+    assert toxicity.learned(docs.limit(0), marks) == {}
+    assert 0 < toxicity.word_counts(docs, marks, rows=100).agg({"t": "sum"}).first()[0] < toxicity.word_counts(docs, marks).agg({"t": "sum"}).first()[0]
+
+
+def test_learned_terms_find_documents_without_a_label(marked):
+    rows, labels, docs, marks = marked
+    known = {i for i, _ in labels}
+    found = {r.doc_id for r in toxicity.toxic_documents(docs, marks, lexicon={}, exceptions=()).collect()}
+    toxic = {i for i, _, text in rows if i is not None and text and re.search(r"\b(zut|pfui)", text)}
+    assert len(found & toxic - known) >= 0.95 * len(toxic - known) and len(found - toxic) <= 5
 
 
 def test_toxicity_against_brute_force(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    want = {r.doc_id: round(s, 6) for r in docs.collect() if (s := brute_score(r.text)) >= toxicity.THRESHOLD}
-    assert {r.doc_id: r.score for r in toxicity.toxic_documents(docs).collect()} == want
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    rows = docs.collect()
+    beginnings = brute_learned([(r.doc_id, r.lang, r.text) for r in rows], [(r.doc_id, r.toxic) for r in labels.collect()])
+    want = {r.doc_id: round(s, 6) for r in rows if (s := brute_score(r.text, r.lang, beginnings=beginnings)) >= toxicity.THRESHOLD}
+    assert {r.doc_id: r.score for r in toxicity.toxic_documents(docs, labels).collect()} == want
     assert want
 
 
-def test_toxicity_of_odd_rows(frame, odd):
+def test_toxicity_of_held_out_labels(spark, data):
+    """Half of the families of documents (by longest word) are learnt from, the other half is judged."""
+    docs, labels = (spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    side = {r.doc_id: hash_of(max(r.text.lower().split() or [""], key=lambda w: (len(w), w))) % 2 for r in docs.join(labels, "doc_id").select("doc_id", "text").collect()}
+    half = spark.createDataFrame([(i, s) for i, s in side.items()], "doc_id long, side int")
+    fit = labels.join(half.filter("side = 0"), "doc_id")
+    found = {r.doc_id for r in toxicity.toxic_documents(docs, fit).collect()}
+    held = [r for r in labels.collect() if side.get(r.doc_id) == 1]
+    toxic, clean = ([r.doc_id in found for r in held if r.toxic == k] for k in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def hash_of(word):
+    return int.from_bytes(hashlib.sha256(word.encode()).digest()[:4], "big")
+
+
+def test_toxicity_of_odd_rows(frame, odd, spark):
     docs = frame([*odd, (20, "idiot"), (20, "idiot"), (21, "word " * 100_000 + "idiot")])
-    assert [tuple(r)[0] for r in toxicity.toxic_documents(docs).collect()] == [20, 20]
-    kept = toxicity.drop_toxic(docs)
-    assert kept.columns == docs.columns and kept.count() == len(odd) + 1
-    assert toxicity.toxic_documents(frame([])).count() == 0 == toxicity.drop_toxic(frame([])).count()
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (20, None), (5, 0), (20, 1)], "doc_id long, toxic int")
+    for marks in (None, labels, labels.limit(0)):
+        assert [tuple(r)[0] for r in toxicity.toxic_documents(docs, marks).collect()] == [20, 20]
+        kept = toxicity.drop_toxic(docs, marks)
+        assert kept.columns == docs.columns and kept.count() == len(odd) + 1
+        assert toxicity.toxic_documents(frame([]), marks).count() == 0 == toxicity.drop_toxic(frame([]), marks).count()
 
 
 def test_toxicity_lists(frame):
     docs = frame([(1, "foo bar"), (2, "foo baz foo")])
-    assert [r.doc_id for r in toxicity.toxic_documents(docs, lexicon={"foo": 1.0}, exceptions=("foo bar",)).collect()] == [2]
+    assert [r.doc_id for r in toxicity.toxic_documents(docs, lexicon={("", "foo"): 1.0}, exceptions=("foo bar",)).collect()] == [2]
     assert toxicity.toxic_documents(docs, lexicon={}, exceptions=()).count() == 0
 
 

@@ -7,7 +7,7 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
-from test_filters import brute_groups, brute_score, planted
+from test_filters import brute_groups, brute_learned, brute_score, planted
 
 import __spark_entry__ as entry
 from textloom.llm import mixing, oracles, queries, toxicity
@@ -21,9 +21,9 @@ def corpus():
     return [*rows, (3000, None, "a"), (3001, "", "b"), (3002, "", "b"), (None, "no id", "a")]
 
 
-def brute(rows):
+def brute(rows, beginnings):
     """What is left after each filter."""
-    clean = [r for r in rows if r[1] is None or brute_score(r[1]) < toxicity.THRESHOLD]
+    clean = [r for r in rows if r[1] is None or brute_score(r[1], "en", beginnings=beginnings) < toxicity.THRESHOLD]
     first = {}
     for i, t, _ in clean:
         if i is not None and t is not None:
@@ -36,7 +36,10 @@ def brute(rows):
 def test_stages_against_brute_force(spark, frame, tmp_path):
     rows = corpus()
     docs = frame(rows, extra=False)
-    wants = brute(rows)
+    labels = [(i, int("idiot" in (t or ""))) for i, t, _ in rows if i is not None and i % 3 != 1]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    beginnings = brute_learned([(i, "en", t) for i, t, _ in rows], labels)
+    wants = brute(rows, beginnings)
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         out.write.parquet(str(tmp_path / name))
@@ -66,17 +69,18 @@ def test_run_is_the_stages(spark, data):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
 
 
-def test_an_empty_table(spark, frame):
+def test_an_empty_table(spark, frame, tmp_path):
     docs = frame([], extra=False)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, "")
+        docs = stage(spark, docs, str(tmp_path))
     assert docs.count() == 0
 
 
 @pytest.mark.parametrize("name", list(oracles.oracle_sql()))
 def test_queries_equal_their_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
     r = con.execute(oracles.oracle_sql()[name])
     columns = [d[0] for d in r.description]

@@ -2,26 +2,71 @@
 
 from __future__ import annotations
 
-from .toxicity import EXCEPTIONS, FLOOR_CHARS, LEXICON, THRESHOLD, _folded, fold_pairs
+from .toxicity import EXCEPTIONS, FLOOR_CHARS, GAIN, LEAST_DOCS, LEXICON, LONGEST, NATS, SHORTEST, THRESHOLD
+
+_ALIKE = {
+    "a": "аα@４ɑ4æ", "b": "вьЬ８β8", "c": "сϲ¢", "d": "ԁđ", "e": "еєε€3", "f": "ƒ", "g": "ɡ", "h": "һнħ", "i": "іιїӏ1l|¡１ıł", "j": "ј", "k": "кκ", "m": "м",
+    "n": "ոпη", "o": "оοօ0０σøœ", "p": "рρ", "q": "ԛ", "r": "гᴦ", "s": "ѕ$５5ß", "t": "тτ7", "u": "υս", "v": "ѵν", "w": "ԝωш", "x": "хχ", "y": "уүγ", "z": "ᴢ",
+}
+#: Lower case, no marks, look-alikes and digits as letters, one space between words, runs of three or more as one letter.
+_RUNS = [chr(c) for c in range(0x61, 0x7B) if chr(c) != "l"]
+
+
+def _folded(column: str) -> str:
+    a, b = "".join(_ALIKE.values()), "".join(k * len(v) for k, v in _ALIKE.items())
+    out = f"regexp_replace(translate(strip_accents(lower(regexp_replace({column}, '[\\p{{M}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}\\x{{AD}}]', '', 'g'))), '{a}', '{b}'), '[^a-z0-9]+', ' ', 'g')"
+    for c in _RUNS:
+        out = f"regexp_replace({out}, '{c}{{3,}}', '{c}', 'g')"
+    return f"trim({out})"
 
 
 def _toxicity() -> str:
-    pairs = fold_pairs()
-    a, b = "".join(pairs), "".join(pairs.values())
-    by_weight: dict[float, list[str]] = {}
-    for term, weight in LEXICON.items():
-        by_weight.setdefault(weight, []).append(_folded(term))
-    counts = {w: f"len(regexp_extract_all(safe, '\\b(?:{'|'.join(sorted(t, key=len, reverse=True))})\\b'))" for w, t in by_weight.items()}
-    phrases = "|".join(sorted(map(_folded, EXCEPTIONS), key=len, reverse=True))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    hand = ", ".join(f"({quoted(lang)}, {quoted(term)}, {weight})" for (lang, term), weight in LEXICON.items())
+    phrases = ", ".join(f"({quoted(x)})" for x in EXCEPTIONS)
+    singles = "folded"
+    for c in _RUNS:
+        singles = f"replace({singles}, '{c}{c}', '{c}')"
+    levels, above = [], ""
+    for k in range(LONGEST, SHORTEST - 1, -1):
+        own = f"SELECT lang, p, gain FROM gains WHERE length(p) = {k}"
+        rest = f"SELECT lang, substr(p, 1, {k}) AS p, sum(v) AS rest FROM {above} GROUP BY ALL" if above else "SELECT lang, p, 0.0 AS rest FROM gains WHERE false"
+        above = f"best{k}"
+        levels.append(f"{above} AS (SELECT lang, p, coalesce(gain, 0) > coalesce(rest, 0) + 1e-6 AS own, greatest(coalesce(gain, 0), coalesce(rest, 0)) AS v FROM ({own}) FULL JOIN ({rest}) USING (lang, p))")
+    every = " UNION ALL ".join(f"SELECT lang, p FROM best{k} WHERE own" for k in range(SHORTEST, LONGEST + 1))
     return f"""
-WITH folded AS (
-  SELECT doc_id, length(text) AS n, regexp_replace(translate(text, '{a.replace("'", "''")}', '{b}'), '[^a-z0-9_]', ' ', 'g') AS f FROM documents
-), cleared AS (SELECT doc_id, n, regexp_replace(f, '\\b(?:{phrases})\\b', ' ', 'g') AS safe FROM folded),
-counted AS (
-  SELECT doc_id, n, {" + ".join(counts.values())} AS hits, {" + ".join(f"{w} * {c}" for w, c in counts.items())} AS total FROM cleared
-)
-SELECT doc_id, round(1000.0 * total / greatest(n, {FLOOR_CHARS}), 6) AS score, CAST(hits AS BIGINT) AS hits
-FROM counted WHERE 1000.0 * total / greatest(n, {FLOOR_CHARS}) >= {THRESHOLD}"""
+WITH folded AS (SELECT doc_id, coalesce(lang, '') AS lang, length(text) AS n, {_folded("text")} AS f FROM documents WHERE text IS NOT NULL),
+listed AS (SELECT doc_id, lang, n, f, string_split(f, ' ') AS words FROM folded WHERE f <> ''),
+unnested AS (SELECT doc_id, lang, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM listed),
+words AS (SELECT doc_id, lang, w, CAST(1 + coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM unnested),
+marks AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE toxic IS NOT NULL GROUP BY 1),
+marked AS (SELECT doc_id, lang, toxic, w FROM words JOIN marks USING (doc_id)),
+longest AS (SELECT doc_id, lang, toxic, arg_min(w, (-length(w), w)) AS family FROM marked GROUP BY ALL),
+firsts AS (SELECT min(doc_id) AS doc_id FROM longest GROUP BY lang, toxic, family),
+counts AS (SELECT lang, w, sum(toxic) AS t, sum(1 - toxic) AS c FROM (SELECT DISTINCT m.* FROM marked m JOIN firsts USING (doc_id)) GROUP BY ALL),
+totals AS (SELECT lang, sum(t) AS nt, sum(c) AS nc FROM counts GROUP BY 1 HAVING sum(t) > 0 AND sum(c) > 0),
+begun AS (SELECT lang, unnest([substr(w || ' ', 1, k) FOR k IN range({SHORTEST}, least({LONGEST}, length(w) + 1) + 1)]) AS p, t, c FROM counts),
+rates AS (SELECT lang, p, sum(t) AS t, any_value(nt) AS nt, sum(t) / any_value(nt) AS rt, (sum(c) + 1) / any_value(nc) AS rc FROM begun JOIN totals USING (lang) GROUP BY lang, p HAVING sum(t) >= {LEAST_DOCS}),
+gains AS (SELECT lang, p, ln(rt / rc) / {NATS} AS weight, round(t * ln(rt / rc) - nt * (rt - rc) - {GAIN}, 6) AS gain FROM rates WHERE rt > rc AND t * ln(rt / rc) - nt * (rt - rc) - {GAIN} > 0),
+{", ".join(levels)},
+owned AS ({every}),
+learnt AS (SELECT lang, p, weight FROM owned o JOIN gains USING (lang, p) WHERE NOT EXISTS (SELECT 1 FROM owned x WHERE x.lang = o.lang AND length(x.p) < length(o.p) AND starts_with(o.p, x.p))),
+given AS (SELECT lang, {_folded("term")} AS folded, weight FROM (VALUES {hand}) v(lang, term, weight)),
+forms AS (SELECT lang, weight, folded AS form FROM given UNION SELECT lang, weight, {singles} FROM given),
+terms AS (
+  SELECT lang, weight, form FROM forms UNION SELECT lang, weight, array_to_string(string_split(form, ''), ' ') FROM forms WHERE length(form) > 3 AND NOT contains(form, ' ')
+),
+padded AS (SELECT doc_id, f || ' ' AS f FROM listed),
+hits AS (
+  SELECT w.doc_id, pos, pos + length(form) AS stop, weight FROM words w JOIN terms t ON w.w = string_split(form, ' ')[1] AND (t.lang = '' OR t.lang = w.lang) JOIN padded USING (doc_id) WHERE substr(f, pos, length(form) + 1) = form || ' '
+  UNION ALL SELECT doc_id, pos, pos + length(w), weight FROM words w JOIN learnt l ON l.lang = w.lang AND starts_with(w.w || ' ', l.p)
+),
+best AS (SELECT doc_id, pos, arg_max(stop, (weight, stop)) AS stop, max(weight) AS weight FROM hits GROUP BY ALL),
+phrases AS (SELECT {_folded("x")} AS phrase FROM (VALUES {phrases}) v(x)),
+safe AS (SELECT w.doc_id, pos, pos + length(phrase) AS stop FROM words w JOIN phrases ON w.w = string_split(phrase, ' ')[1] JOIN padded USING (doc_id) WHERE substr(f, pos, length(phrase) + 1) = phrase || ' '),
+counted AS (SELECT doc_id, weight FROM best b WHERE NOT EXISTS (SELECT 1 FROM safe s WHERE s.doc_id = b.doc_id AND s.pos <= b.pos AND b.stop <= s.stop)),
+scored AS (SELECT doc_id, 1000.0 * sum(weight) / greatest(any_value(n), {FLOOR_CHARS}) AS score, count(*) AS hits FROM counted JOIN folded USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score, CAST(hits AS BIGINT) AS hits FROM scored WHERE score >= {THRESHOLD}"""
 
 
 EXACT = """

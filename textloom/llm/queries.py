@@ -23,7 +23,7 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxic documents with their scores."""
-    return toxicity.toxic_documents(table(spark, sf_dir, "documents"))
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
