@@ -2,9 +2,12 @@
 
 import json
 import math
+import random
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,8 +17,9 @@ from textloom.functions import distance as dist
 from textloom.functions import geo
 from textloom.functions import text as tx
 from textloom.functions.fuzzy import restricted_distance
-from textloom.operators import info, reduce
+from textloom.operators import info, kwic, reduce, squares, stats, vectors
 from textloom.sources import sinks
+from textloom.sources.corpus import Corpus, Level, documents_corpus
 from textloom.streaming.drift import term_drift
 
 VECTORS = {
@@ -71,11 +75,34 @@ TWEET = "@theresa_may @theresa_may, today anything you say is just to distract f
 
 @pytest.mark.parametrize(
     ("unit", "left", "right", "at", "want"),
-    [("WORD", 0, 0, 16, "theresa_may"), ("TOKEN", 0, 0, 16, "theresa_may"), ("WORD", 2, 2, 16, "theresa_may @theresa_may, today anything"), ("TOKEN", 1, 1, 16, "@theresa_may,"), ("TOKEN", 2, 2, 16, " @theresa_may, "), ("TOKEN", 3, 3, 16, "theresa_may @theresa_may, today"), ("WORD", 1, 1, 16, "theresa_may @theresa_may, today"), ("WORD", 2, 0, 16, "theresa_may @theresa_may"), ("WORD", 0, 2, 16, "theresa_may, today anything"), ("WORD", 0, 0, 38, "anything")],
+    [("WORD", 0, 0, 16, "theresa_may"), ("TOKEN", 0, 0, 16, "theresa_may"), ("WORD", 2, 2, 16, "@theresa_may @theresa_may, today anything"), ("TOKEN", 1, 1, 16, "@theresa_may,"), ("TOKEN", 2, 2, 16, " @theresa_may, "), ("TOKEN", 3, 3, 16, "theresa_may @theresa_may, today"), ("WORD", 1, 1, 16, "theresa_may @theresa_may, today"), ("WORD", 2, 0, 16, "@theresa_may @theresa_may"), ("WORD", 0, 2, 16, "theresa_may, today anything"), ("WORD", 0, 0, 38, "anything")],
 )
 def test_units(unit, left, right, at, want):
     a, b = tx.expanded_span(TWEET, unit, at, left, right)
     assert TWEET[a:b] == want
+    own = tx.Units(TWEET, unit, left, right)
+    assert TWEET[max(own.preceding(at + 1), 0) : own.following(at)] == want
+
+
+def test_moves_over_units():
+    own = tx.Units(text := "0 2.!.6 8 A C E", "CHARACTER")
+    assert text[own.following(3) : own.next()] == "!"
+    own = tx.Units(text, "CHARACTER", 2, 2)
+    assert text[own.following(3) : own.next()] == "6 8"
+    own = tx.Units(text, "WORD")
+    assert text[own.preceding(3) : own.next()] == "2"
+    own = tx.Units(TWEET, "WORD", 0, 2)
+    assert TWEET[own.following_word_start(16) : own.next()] == "today anything you"
+    own = tx.Units(TWEET, "WORD")
+    assert TWEET[own.following_word_start(16) : own.next()] == "today"
+    for moves, want in ((1, "anything"), (2, "you")):
+        own.following_word_start(16)
+        at = [own.next_word_start() for _ in range(moves)][-1]
+        assert TWEET[at : own.next()] == want
+    for moves, want in ((0, "anything"), (1, "today"), (2, "theresa_may")):
+        at = [own.preceding(38), *(own.previous() for _ in range(moves))][-1]
+        assert TWEET[at : own.next()] == want
+    assert tx.Units("", "WORD").next() == tx.Units("", "WORD").previous() == tx.Units("a", "TOKEN").following(1) == tx.Units.DONE
 
 
 def test_characters_and_paragraphs(spark):
@@ -173,3 +200,113 @@ def test_stream(spark, tmp_path):
     got = {(str(r.window_start)[:10], r.term): r.tf for r in spark.table("drift").collect()}
     assert got == {("2024-01-01", "a"): 2, ("2024-01-01", "b"): 1, ("2024-01-02", "a"): 1}
     assert term_drift(rows).count() == 4
+
+
+# ---------------------------------------------------------------- vectors, places, results
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abcdefghijkl", weights=range(1, 13), k=rng.randint(1, 30))), rng.choice(["x", "", None])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, g string")
+    return rows, Corpus(spark, "small", [Level("DOCUMENT", ["doc_id"], lambda: docs)])
+
+
+def test_similar_collocations_against_loops(small):
+    rows, c = small
+    docs = [Counter(t.split()) for _, t, _ in rows]
+    first = Counter()
+    for d in docs:
+        if "a" in d:
+            first.update(d)
+    first = dict(sorted(first.items(), key=lambda x: (-x[1], x[0]))[:3])
+    second = {t for d in docs if d.keys() & first.keys() for t in d}
+    want = []
+    for t in second:
+        v = Counter()
+        for d in docs:
+            if t in d:
+                v.update(d)
+        p = [(v.get(k, 0), first.get(k, 0)) for k in v.keys() | first.keys()]
+        low, total = sum(map(min, p)), sum(map(sum, p))
+        cosine = 1 - sum(x * y for x, y in p) / math.sqrt(sum(x * x for x, _ in p) * sum(y * y for _, y in p))
+        want += [("cosine", t, cosine), ("dice", t, 1 - 2 * low / total), ("jaccard", t, 1 - low / (total - low)), ("euclidean", t, math.sqrt(sum((x - y) ** 2 for x, y in p))), ("manhattan", t, math.sqrt(sum(abs(x - y) for x, y in p)))]
+    for chunk, pairs in ((squares.CHUNK, squares.PAIRS), (20, 50)):
+        old = squares.CHUNK, squares.PAIRS
+        squares.CHUNK, squares.PAIRS = chunk, pairs
+        got = vectors.similar_collocations(c, "a", first_limit=3, limit=1000).collect()
+        squares.CHUNK, squares.PAIRS = old
+        assert {(r.metric, r.term): r.distance for r in got} == {(m, t): pytest.approx(d, abs=1e-8) for m, t, d in want}
+    assert vectors.similar_collocations(c, "a", limit=5, third_docs=12 * 20).count() == 25
+    assert vectors.similar_collocations(c, "nothing").count() == 0
+    with pytest.raises(ValueError, match="no sample"):
+        vectors.similar_collocations(c, "a", third_docs=5)
+    assert vectors.budget(-1, 5) == -1 and vectors.budget(100, 21) == 4
+
+
+def test_squared_lengths_of_many_chunks():
+    """All that a block holds, in chunks of a few numbers."""
+    rng = random.Random(1)
+    docs = [(sorted(rng.sample(range(9), 3)), t := sorted(rng.sample(range(40), rng.randint(1, 30))), [float(rng.randint(1, 5)) for _ in t]) for _ in range(50)]
+    want = {}
+    for b in range(9):
+        v = Counter()
+        for own, t, f in docs:
+            if b in own:
+                v.update(dict(zip(t, f)))
+        want[b] = sum(x * x for x in v.values())
+    batch = pa.RecordBatch.from_pydict({"bases": [b for b, _, _ in docs], "terms": [t for _, t, _ in docs], "freqs": [f for _, _, f in docs]})
+    cells = pa.Table.from_batches(list(squares._cells(4)([batch]))).sort_by("cell").combine_chunks()
+    for chunk in (10, 1 << 20):
+        old, squares.CHUNK = squares.CHUNK, chunk
+        got = {k: v for out in squares._squared(iter(cells.to_batches(max_chunksize=7))) for k, v in zip(*(out.column(x).to_pylist() for x in ("base", "ss")))}
+        squares.CHUNK = old
+        assert got == pytest.approx(want)
+
+
+def test_distances_of_documents(small):
+    rows, c = small
+    y = {"a": 2.0, "b": 1.0, "zz": 3.0}
+    vector = c.spark.createDataFrame(list(y.items()), "term string, weight double")
+    got = {r.doc_id: r.distance for r in vectors.search_distance(c, "a", vector, metric="MANHATTAN").collect()}
+    assert got == {i: pytest.approx(math.sqrt(sum(abs(d.get(t, 0) - y.get(t, 0)) for t in d.keys() | y.keys()))) for i, t, _ in rows if "a" in (d := Counter(t.split()))}
+    flat = vectors.search_distance(c, "a", vector, local_how=vectors.Local(scaling="FLAT"), normalization="NORMALIZE")
+    n = math.sqrt(sum(x * x for x in y.values()))
+    for r in flat.collect():
+        d = set(rows[r.doc_id][1].split())
+        assert r.distance == pytest.approx(1 - sum(y.get(t, 0) for t in d) / math.sqrt(len(d)) / n)
+
+
+def test_groups_with_null_and_empty_keys_stay_apart(small):
+    _, c = small
+    groups = [vectors.grouped_vectors(c, w, ["g"]) for w in ("a", "b")]
+    assert {r.g for r in vectors.diff_lists(*groups, ["g"], 2).select("g").distinct().collect()} == {None, "", "x"}
+
+
+def test_places_under_an_analyzer(spark):
+    docs = spark.createDataFrame([(1, "One, two ONE"), (2, None), (3, "")], "doc_id long, text string")
+    c = Corpus(spark, "analyzed", [Level("DOCUMENT", ["doc_id"], lambda: docs)], analyzers={"text": lambda x: F.split(F.lower(x), "[, ]+")})
+    assert [tuple(r) for r in c.places().orderBy("pos").collect()] == [(1, 0, "one", 0, 3), (1, 1, "two", 5, 8), (1, 2, "one", 9, 12)]
+    assert [(r.start, r.end) for r in kwic.matches(c, "one").orderBy("start").collect()] == [(0, 3), (9, 12)]
+
+
+def test_a_rewritten_table_gives_new_results(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    for texts in (["a b"], ["c", "c d"]):
+        spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(path)
+        assert {r.term for r in documents_corpus(spark, str(tmp_path)).term_stats().collect()} == set(" ".join(texts).split())
+
+
+def test_total_beside_limited_groups(small):
+    rows, c = small
+    out = stats.with_total(c, "a", ["g"], term_freqs=True, limit=1).collect()
+    hits = [t.split().count("a") for _, t, _ in rows if "a" in t.split()]
+    assert len(out) == 2 and out[-1].is_total and (out[-1].doc_freq, out[-1].total_term_freq, list(out[-1].term_freqs)) == (len(hits), sum(hits), sorted(hits))
+
+
+def test_csv_files(spark, tmp_path):
+    df = spark.createDataFrame([(2.0, "x")], "score double, g string").coalesce(1)
+    for whole, want in ((True, "2,x"), (False, "2.0,x")):
+        sinks.write_csv(df, str(tmp_path / str(whole)), whole)
+        assert [r.value for r in spark.read.text(str(tmp_path / str(whole))).collect()] == ["score,g", want]

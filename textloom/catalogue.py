@@ -83,11 +83,10 @@ def _(spark, sf):
     return corpus(spark, sf).term_stats()
 
 
-@register("doc_vector", f"{BASE}, {TS} SELECT doc_id, term, tf, round(tf / doc_freq, 6) AS weight FROM dt JOIN ts USING (term) WHERE doc_id IN (SELECT doc_id FROM dt WHERE term = 'orre')")
+@register("doc_vector", f"{BASE}, {TS} SELECT doc_id, term, tf AS freq, round(tf / doc_freq, 6) AS weight FROM dt JOIN ts USING (term)")
 def _(spark, sf):
     c = corpus(spark, sf)
-    hits = Compiler(c, "DOCUMENT").compile(q.parse("orre")).hits
-    return vectors.context_rows(c, hits, "DOCUMENT", vectors.Local()).join(c.term_stats(), "term").select("doc_id", "term", "tf", F.round(F.col("f") / F.col("doc_freq"), 6).alias("weight"))
+    return vectors.document_vectors(c, c.rows("DOCUMENT"), how=vectors.Aggregate("DF")).select("doc_id", "term", "freq", F.round("weight", 6).alias("weight"))
 
 
 @register("postings", f"WITH {TOK} SELECT term, doc_id, pos FROM tok WHERE term IN ('orre', 'of')")
@@ -95,9 +94,9 @@ def _(spark, sf):
     return corpus(spark, sf).tokens().filter(F.col("term").isin("orre", "of")).select("term", "doc_id", "pos")
 
 
-@register("typed_fields", "SELECT event_id, user_id, value, event_type, json_extract_string(props, '$.k') AS k, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at FROM events")
+@register("typed_fields", "SELECT event_id, user_id, value, event_type, json_extract_string(props, '$.k') AS k, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ts FROM events")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", "user_id", "value", "event_type", F.get_json_object("props", "$.k").alias("k"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return _events(spark, sf).values("EVENT", ["user_id", "value", "event_type", "ts", "props.k"]).withColumnRenamed("props.k", "k")
 
 
 @register("zip_join", f"{FULL} SELECT doc_id, lang, n_chars, n_tokens FROM documents JOIN len USING (doc_id)")
@@ -106,15 +105,24 @@ def _(spark, sf):
     return c.zipped("DOCUMENT", c.lengths()).select("doc_id", "lang", "n_chars", "n_tokens")
 
 
-@register("corpus_listing")
+@register("corpus_listing", "SELECT * FROM (VALUES ('conversations', 'conversations', '1'), ('documents', 'documents', '1')) v(id, name, version)")
 def _(spark, sf):
     from .sources.corpus import Registry
 
     r = Registry()
-    r.open("documents", lambda: documents_corpus(spark, sf))
-    r.open("conversations", lambda: conversations_corpus(spark, sf))
-    r.open("missing", lambda: (_ for _ in ()).throw(FileNotFoundError("missing")))
-    return r.listing(spark)
+    r.open_all({
+        "documents": lambda: documents_corpus(spark, sf),
+        "conversations": lambda: conversations_corpus(spark, sf),
+        "missing": lambda: (_ for _ in ()).throw(FileNotFoundError("missing")),
+    })
+    return r.listing(spark).withColumn("name", F.element_at(F.split("name", "/"), -1))
+
+
+@register("common_fields", "SELECT 'doc_id' AS field UNION ALL SELECT 'lang' UNION ALL SELECT 'source' UNION ALL SELECT 'text'")
+def _(spark, sf):
+    c = corpus(spark, sf)
+    some = Corpus(spark, f"{sf}/some", [c.level(x) for x in ("DOCUMENT", "LINE", "SENTENCE")])
+    return spark.createDataFrame([(x,) for x in some.common_fields()], "field string")
 
 
 # ---------------------------------------------------------------- search
@@ -230,6 +238,18 @@ def _(spark, sf):
     return scored(_events(spark, sf), "ts:[2024-01-05 TO 2024-01-20}", "EVENT")
 
 
+@register("pred_float_eq", "SELECT event_id, 1.0 :: DOUBLE AS score FROM events WHERE value = (SELECT min(value) FROM events WHERE event_id < 100)")
+def _(spark, sf):
+    least = table(spark, sf, "events").filter("event_id < 100").agg(F.min("value")).first()[0]
+    return scored(_events(spark, sf), f"value:{least!r}", "EVENT")
+
+
+@register("pred_default_level", f"WITH {STOK} SELECT doc_id, sent_no, CAST(count(*) AS DOUBLE) AS score FROM stok WHERE term = 'orre' GROUP BY ALL".replace("WITH stok", f"WITH {SENTS}, stok"))
+def _(spark, sf):
+    c = corpus(spark, sf)
+    return scored(Corpus(spark, c.name, list(c.levels.values()), default_level="SENTENCE"), "orre")
+
+
 @register("pred_double_range", "SELECT event_id, 2.0 :: DOUBLE AS score FROM events WHERE value > 10 AND value <= 60.5 AND user_id BETWEEN 5 AND 40")
 def _(spark, sf):
     return scored(_events(spark, sf), "value:{10 TO 60.5] user_id:[5 TO 40]", "EVENT")
@@ -285,8 +305,7 @@ def _(spark, sf):
 @register("pred_term_set", "SELECT doc_id, lang, source FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'fr' AND n_chars < 400)")
 def _(spark, sf):
     rows = corpus(spark, sf).rows("DOCUMENT")
-    values = rows.filter("lang = 'fr' and n_chars < 400").select("source").distinct()
-    return rows.join(values, "source", "left_semi").select("doc_id", "lang", "source")
+    return field_semi_join(rows, rows.filter("lang = 'fr' and n_chars < 400"), "source", ["doc_id"]).select("doc_id", "lang", "source")
 
 
 @register("docset_ops", f"{BASE} SELECT doc_id FROM ((SELECT doc_id FROM dt WHERE term = 'the' INTERSECT SELECT doc_id FROM dt WHERE term = 'of') UNION SELECT doc_id FROM dt WHERE term = 'orre') EXCEPT SELECT doc_id FROM dt WHERE term = 'by'")
@@ -405,7 +424,7 @@ def _(spark, sf):
 
 @register("stats_with_total", f"{BASE} SELECT lang, count(*) AS doc_freq, CAST(sum(score) AS BIGINT) AS total_term_freq, grouping(lang) = 1 AS is_total FROM {THE} GROUP BY ROLLUP (lang)")
 def _(spark, sf):
-    return stats.with_total(stats.grouped_stats(corpus(spark, sf), "the", ["lang"]), ["lang"])
+    return stats.with_total(corpus(spark, sf), "the", ["lang"])
 
 
 SENT = f"WITH {SENTS}, {STOK}, sdt AS (SELECT doc_id, sent_no, term, count(*) AS tf FROM stok GROUP BY ALL)"
@@ -484,7 +503,8 @@ def _(spark, sf):
     return vectors.vector_metadata(corpus(spark, sf), "orre", local_how=vectors.Local(min_freq_in_doc=2))
 
 
-@register("colloc_sampled")
+@register("colloc_sampled", f"""{BASE}, h AS (SELECT doc_id FROM dt WHERE term = 'the'), d AS (SELECT doc_id FROM h WHERE CAST('0x' || substr(sha256('7' || chr(31) || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 < 100.0 / (SELECT count(*) FROM h))
+SELECT term, CAST(sum(tf) AS BIGINT) AS freq, CAST(sum(tf) AS DOUBLE) AS weight FROM dt WHERE doc_id IN (SELECT doc_id FROM d) GROUP BY 1""")
 def _(spark, sf):
     return vectors.term_vector(corpus(spark, sf), "the", max_docs=100)
 
@@ -607,19 +627,18 @@ def _(spark, sf):
 
 @register("group_key_union", f"{GV} SELECT lang FROM a UNION SELECT lang FROM b")
 def _(spark, sf):
-    a, b = _grouped_pair(spark, sf)
-    return a.select("lang").union(b.select("lang")).distinct()
+    return vectors.vector_diff(*_grouped_pair(spark, sf), ["lang"]).select("lang")
 
 
-@register("similar_collocations", f"""{CTX}, one AS (SELECT term, CAST(freq AS DOUBLE) AS y FROM su ORDER BY freq DESC, term LIMIT 5),
-hold AS (SELECT DISTINCT doc_id FROM dt WHERE term IN (SELECT term FROM one)), two AS (SELECT DISTINCT dt.term FROM dt JOIN ts USING (term) WHERE doc_id IN (SELECT doc_id FROM hold) AND doc_freq >= 40),
-three AS (SELECT a.term AS base, b.term, CAST(sum(b.tf) AS DOUBLE) AS x FROM dt a JOIN dt b USING (doc_id) JOIN ts ON ts.term = b.term WHERE a.term IN (SELECT term FROM two) AND ts.doc_freq >= 40 GROUP BY ALL),
+@register("similar_collocations", f"""{CTX}, one AS (SELECT term, CAST(freq AS DOUBLE) AS y FROM su ORDER BY freq DESC, term LIMIT 20),
+hold AS (SELECT DISTINCT doc_id FROM dt WHERE term IN (SELECT term FROM one)), two AS (SELECT DISTINCT dt.term FROM dt WHERE doc_id IN (SELECT doc_id FROM hold)),
+three AS (SELECT a.term AS base, b.term, CAST(sum(b.tf) AS DOUBLE) AS x FROM dt a JOIN dt b USING (doc_id) WHERE a.term IN (SELECT term FROM two) GROUP BY ALL),
 s AS (SELECT base, sum(x) AS s, sum(x * x) AS ss FROM three GROUP BY 1), m AS (SELECT base, sum(x * y) AS xy, sum(least(x, y)) AS low, sum(abs(x - y) - x - y) AS off FROM three JOIN one USING (term) GROUP BY 1),
 t AS (SELECT sum(y) AS t, sum(y * y) AS tt FROM one), r AS (SELECT two.term, coalesce(s, 0) AS s, coalesce(ss, 0) AS ss, coalesce(xy, 0) AS xy, coalesce(low, 0) AS low, coalesce(off, 0) AS off, t, tt FROM two LEFT JOIN s ON s.base = two.term LEFT JOIN m ON m.base = two.term CROSS JOIN t),
 d AS (SELECT term, unnest(['cosine', 'dice', 'jaccard', 'euclidean', 'manhattan']) AS metric, unnest([1 - xy / (sqrt(ss) * sqrt(tt)), 1 - 2 * low / (s + t), 1 - low / (s + t - low), sqrt(ss + tt - 2 * xy), sqrt(s + t + off)]) AS v FROM r WHERE s > 0)
-SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY round(v, 9), term) AS rank, term, round(v, 6) AS distance FROM d QUALIFY rank <= 10""")
+SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY round(v, 9), term) AS rank, term, round(v, 6) AS distance FROM d QUALIFY rank <= 20""")
 def _(spark, sf):
-    found = vectors.similar_collocations(corpus(spark, sf), "orre", local_how=vectors.Local(min_doc_freq=40), first_limit=5, limit=10)
+    found = vectors.similar_collocations(corpus(spark, sf), "orre")
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -693,7 +712,7 @@ def _(spark, sf):
     return corpus(spark, sf).places()
 
 
-@register("span_match", f"WITH {SPLACE} SELECT a.doc_id, a.pos, b.pos AS last_pos, a.start, CAST(b.start + b.n AS INT) AS \"end\", 'of the' AS terms FROM pl a JOIN pl b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'")
+@register("span_match", f"WITH {SPLACE} SELECT doc_id, pos, pos + 1 AS last_pos, start, CAST(lead(start) OVER w + lead(n) OVER w AS INT) AS \"end\", 'of the' AS terms FROM pl WINDOW w AS (PARTITION BY doc_id ORDER BY pos) QUALIFY term = 'of' AND lead(term) OVER w = 'the'")
 def _(spark, sf):
     return kwic.matches(corpus(spark, sf), '"of the"')
 
@@ -710,11 +729,11 @@ def _(spark, sf):
     return rows.select("doc_id", "pos", kwic.marked(F.col("text"), F.col("start"), F.col("end")).alias("marked"))
 
 
-@register("passages_per_match", f"{SENT} SELECT doc_id, sent_no, pos, text AS snippet FROM stok JOIN sents USING (doc_id, sent_no) WHERE term = 'orre'")
+@register("passages_per_match", f"WITH {SPLACE} SELECT doc_id, start, CAST(start + n AS INT) AS \"end\", 1 AS n_matches FROM pl WHERE term = 'orre'")
 def _(spark, sf):
-    c = corpus(spark, sf)
-    rows = kwic.matches(c, "orre", "SENTENCE").select("doc_id", "sent_no", "pos")
-    return rows.join(c.rows("SENTENCE").select("doc_id", "sent_no", F.col("text").alias("snippet")), ["doc_id", "sent_no"])
+    own = kwic.passages(corpus(spark, sf), "orre", join_matches=False)
+    at = F.expr("start + instr(snippet, '<b>') - 1")
+    return own.select("doc_id", at.alias("start"), (at + F.expr("instr(snippet, '</b>') - instr(snippet, '<b>') - 3")).alias("end"), "n_matches")
 
 
 @register("snippets")
@@ -758,17 +777,28 @@ def _(spark, sf):
     return tx.segments(table(spark, sf, "documents"), ["doc_id"], "DOCUMENT")
 
 
-@register("unit_char", "SELECT item_id, generate_subscripts(a, 1) - 1 AS seg, unnest(a) AS text FROM (SELECT item_id, regexp_split_to_array(text, '') AS a FROM benchmark)")
+@register("unit_char", "SELECT doc_id, generate_subscripts(a, 1) - 1 AS seg, unnest(a) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '') AS a FROM documents)")
 def _(spark, sf):
-    return tx.segments(table(spark, sf, "benchmark"), ["item_id"], "CHARACTER")
+    return tx.segments(table(spark, sf, "documents"), ["doc_id"], "CHARACTER")
+
+
+_WORDS = r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*"
+
 
+def _unit_sql(pattern: str) -> str:
+    """Places of all matches of a pattern."""
+    quoted = pattern.replace("'", "''")
+    return f"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '{quoted}') AS a, regexp_split_to_array(text, '{quoted}') AS g FROM documents),
+q AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS t, unnest(g[1:len(a)]) AS gap FROM p)
+SELECT doc_id, CAST(i - 1 AS INT) AS seg, CAST(sum(length(t) + length(gap)) OVER w - length(t) AS INT) AS start, CAST(sum(length(t) + length(gap)) OVER w AS INT) AS "end" FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
 
-@register("unit_word")
+
+@register("unit_word", _unit_sql(_WORDS))
 def _(spark, sf):
     return tx.unit_rows(table(spark, sf, "documents"), "WORD")
 
 
-@register("unit_token")
+@register("unit_token", _unit_sql(_WORDS + "|(?s:.)"))
 def _(spark, sf):
     return tx.unit_rows(table(spark, sf, "documents"), "TOKEN")
 
@@ -778,10 +808,9 @@ def _(spark, sf):
     return scored(conversations_corpus(spark, sf), "<TURN§the of§CONVERSATION>", "CONVERSATION")
 
 
-@register("custom_analyzer", "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(lower(lang || ' ' || source), ' ')) AS term FROM documents) GROUP BY ALL")
+@register("custom_analyzer", "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS term FROM documents) WHERE term <> '' GROUP BY ALL")
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
-    c = Corpus(spark, f"{sf}/documents-analyzed", [Level("DOCUMENT", ["doc_id"], lambda: docs.select("doc_id", F.concat_ws(" ", "lang", "source").alias("text")))], analyzers={"text": lambda c: F.split(F.lower(c), " ")})
+    c = Corpus(spark, f"{sf}/documents-analyzed", [Level("DOCUMENT", ["doc_id"], lambda: table(spark, sf, "documents"))], analyzers={"text": lambda c: F.split(F.lower(c), " ")})
     return c.doc_terms()
 
 
@@ -876,6 +905,11 @@ def _(spark, sf):
     return sinks.as_csv(c.rows("DOCUMENT").join(scored(c, "orre"), "doc_id").select("score", "lang", "source"))
 
 
+@register("sink_csv_grouped", f"{BASE} SELECT lang || ',' || quality || ',' || count(*) || ',' || CAST(sum(score) AS BIGINT) AS line FROM {THE} WHERE quality IS NOT NULL GROUP BY lang, quality")
+def _(spark, sf):
+    return sinks.as_csv(stats.grouped_stats(corpus(spark, sf), "the quality:[0 TO 1]^0", ["lang", "quality"]))
+
+
 @register("cached_result", f"{BASE} SELECT lang, count(*) AS doc_freq, CAST(sum(f) AS BIGINT) AS total_term_freq FROM {tf('of')} JOIN documents USING (doc_id) GROUP BY 1")
 def _(spark, sf):
     c = corpus(spark, sf)
@@ -893,14 +927,16 @@ def _(spark, sf):
     return corpus(spark, sf).term_stats().select("term", F.length("term").alias("n"), F.substring("term", 1, 2).alias("head"), F.lower("term").alias("low"), F.concat("term", F.lit("? "), "term").alias("gram"))
 
 
-@register("date_parse", "SELECT o_orderkey, CAST(epoch_ms(o_orderdate) AS BIGINT) AS ms, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
+@register("date_parse", "SELECT o_orderkey, CAST(epoch_ms(o_orderdate) AS BIGINT) AS ms, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderdate >= '1995-03-01' AND o_orderdate < '1996-07-15'")
 def _(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    inside = (at >= Compiler.value("1995-03", "LONGPOINT")) & (at < Compiler.value("1996-07-15", "LONGPOINT"))
+    return table(spark, sf, "orders").filter(inside).select("o_orderkey", at.alias("ms"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
 
 
-@register("map_build", f"{BASE} SELECT doc_id, string_agg(term || '=' || tf, ',' ORDER BY term) AS entries FROM dt WHERE tf >= 5 GROUP BY 1")
+@register("map_build", f"{BASE} SELECT doc_id, string_agg(term || '=' || tf, ',' ORDER BY term) AS entries FROM dt GROUP BY 1")
 def _(spark, sf):
-    m = corpus(spark, sf).doc_terms().filter("tf >= 5").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("m"))
+    m = corpus(spark, sf).doc_terms().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("m"))
     return m.select("doc_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("entries"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -42,6 +43,25 @@ def tokens_with_places(units: DataFrame, keys: list[str], text: str = "text") ->
     return rows.filter("term <> ''")
 
 
+def analyzed_places(units: DataFrame, keys: list[str], text: str, analyzer) -> DataFrame:
+    """``tokens_with_places`` of an analyzer's terms."""
+
+    def placed(texts: pa.Array, terms: pa.Array) -> pa.Array:
+        out = []
+        for t, own in zip(texts.to_pylist(), terms.to_pylist()):
+            # a character whose lower case has another length would move what follows
+            low, at, found = "".join(c.lower() if len(c.lower()) == 1 else c for c in t or ""), 0, []
+            for pos, term in enumerate(own or []):
+                if term and (start := low.find(term.lower(), at)) >= 0:
+                    at = start + len(term)
+                    found.append({"pos": pos, "term": term, "start": start, "end": at})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("pos", pa.int32()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+
+    found = F.arrow_udf(placed, "array<struct<pos:int,term:string,start:int,end:int>>")(F.col(text), analyzer(F.col(text)))
+    return units.select(*keys, F.explode(found).alias("p")).select(*keys, "p.*")
+
+
 # ---------------------------------------------------------------- text units
 
 
@@ -104,12 +124,78 @@ def unit_spans(text: str, unit: str) -> list[tuple[int, int]]:
 
 
 def expanded_span(text: str, unit: str, at: int, left: int = 0, right: int = 0) -> tuple[int, int]:
-    """The unit that holds character ``at`` (or, between words, the one before it), with its neighbours."""
+    """The unit that holds character ``at`` (or, between words, the one before it), with its neighbours. Where these run out
+    it reaches to the text's end, beyond the last word too."""
     spans = unit_spans(text, unit)
     if not spans:
         return 0, 0
     k = max((i for i, (a, _) in enumerate(spans) if a <= at), default=0)
-    return spans[max(0, k - left)][0], spans[min(len(spans) - 1, k + right)][1]
+    return spans[k - left][0] if k >= left else 0, spans[k + right][1] if k + right < len(spans) else len(text)
+
+
+class Units:
+    """A place among the bounds of a text's units that moves from unit to unit; every move returns the new place, or DONE.
+
+    Moves that expand go ``left`` or ``right`` units further. WORD moves over whatever isn't a word and stops at the starts
+    (backwards) or ends (forwards) of words."""
+
+    DONE = -1
+
+    def __init__(self, text: str, unit: str, left: int = 0, right: int = 0):
+        spans = unit_spans(text, "TOKEN" if unit == "WORD" else unit)
+        self.bounds = sorted({0, len(text), *(x for span in spans for x in span)})
+        self.worded = [any(c.isalnum() for c in text[a:b]) for a, b in zip(self.bounds, self.bounds[1:])]
+        self.words, self.left, self.right, self.at = unit == "WORD", left, right, 0
+
+    def _step(self, by: int) -> bool:
+        """One unit on; for words, on to the far bound of the next word. At the text's end it stays there."""
+        k = self.at
+        while 0 <= k + by < len(self.bounds):
+            k += by
+            if not self.words or self.worded[min(k, k - by)]:
+                self.at = k
+                return True
+        self.at = len(self.bounds) - 1 if by > 0 else 0
+        return False
+
+    def _place(self, moved: bool) -> int:
+        return self.bounds[self.at] if moved else self.DONE
+
+    def next(self) -> int:
+        return self._place(all([self._step(1) for _ in range(self.right + 1)]))
+
+    def previous(self) -> int:
+        return self._place(all([self._step(-1) for _ in range(self.left + 1)]))
+
+    def following(self, offset: int) -> int:
+        """The first bound after ``offset``, then ``right`` units on; the text's end where they run out."""
+        self.at = bisect.bisect_right(self.bounds, offset)
+        if self.at == len(self.bounds):
+            self.at -= 1
+            return self.DONE
+        return self._place(all([self._step(1) for _ in range(self.right)]) or True)
+
+    def preceding(self, offset: int) -> int:
+        """The last bound before ``offset``, then ``left`` units back; the text's start where they run out."""
+        self.at = bisect.bisect_left(self.bounds, offset) - 1
+        if self.at < 0:
+            self.at = 0
+            return self.DONE
+        return self._place(all([self._step(-1) for _ in range(self.left)]) or True)
+
+    def _word_start(self, k: int) -> int:
+        while k < len(self.worded) and not self.worded[k]:
+            k += 1
+        self.at = k
+        return self._place(k < len(self.worded))
+
+    def following_word_start(self, offset: int) -> int:
+        """The start of the first word that begins after ``offset``."""
+        return self._word_start(bisect.bisect_right(self.bounds, offset))
+
+    def next_word_start(self) -> int:
+        """The start of the next word."""
+        return self._word_start(self.at + 1)
 
 
 def unit_rows(docs: DataFrame, unit: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -64,17 +64,18 @@ def grouped_stats(corpus: Corpus, query: str, fields: list[str] | None = None, l
     return out if limit == -1 else out.limit(limit)
 
 
-def with_total(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """The groups and, with null keys and ``is_total``, their sum."""
-    numbers = [c for c in grouped.columns if c not in keys]
-    total = grouped.agg(*[F.sum(c).alias(c) for c in numbers])
-    rows = grouped.withColumn("is_total", F.lit(False))
-    return rows.unionByName(total.select(*[F.lit(None).cast(dict(grouped.dtypes)[k]).alias(k) for k in keys], *numbers, F.lit(True).alias("is_total")))
+def with_total(corpus: Corpus, query: str, fields: list[str], level: str | None = None, sum_fields: list[str] | None = None, term_freqs: bool = False, max_docs: int = -1, limit: int = -1, **how) -> DataFrame:
+    """The groups of ``grouped_stats`` and, with null keys and ``is_total``, the statistics of all hits, whatever ``limit`` leaves."""
+    groups = grouped_stats(corpus, query, fields, None, level, sum_fields=sum_fields, term_freqs=term_freqs, max_docs=max_docs, limit=limit, **how)
+    total = _hits(corpus, query, level, max_docs, **how).agg(*_aggregates(sum_fields or [], term_freqs))
+    kinds = dict(groups.dtypes)
+    nulls = [F.lit(None).cast(kinds[k]).alias(k) for k in fields]
+    return groups.withColumn("is_total", F.lit(False)).unionByName(total.select(*nulls, *[c for c in groups.columns if c not in fields], F.lit(True).alias("is_total")))
 
 
 def match_stats(corpus: Corpus, word: str, level: str, by_term: bool = False, transform: Callable[[Column], Column] | None = None, length: int = -1) -> DataFrame:
-    """Groups by the text of the matching passage (a row of a fine level that holds the word, with the word marked), or by the
-    matched term, or both; documents count passages here."""
+    """Groups by the text of the matching passage (a row of a fine level that holds the word; nothing is marked in it), or by that
+    and the matched term; documents count passages here."""
     keys = corpus.keys(level)
     hits = scored(corpus, word, level)
     rows = corpus.rows(level).join(hits, keys)

@@ -12,10 +12,16 @@ from ..functions import distance as dist
 from ..functions.scaling import aggregate, local
 from ..plans import query as q
 from ..sources.corpus import Corpus
+from ..sources.store import written
 from .search import compiled
+from .squares import squared_lengths
 from .stats import prefix
 
 
+#: First vectors of so many terms at most are sent to all executors.
+_BROADCAST_TERMS = 10_000
+
+
 @dataclass(frozen=True)
 class Local:
     """What terms of a document count, and how."""
@@ -62,14 +68,41 @@ class Aggregate:
 
 
 def sampled(hits: DataFrame, max_docs: int, seed: int = 7) -> DataFrame:
-    """Each hit with probability max_docs / hits; -1 keeps all. What a document draws depends on its key and the seed."""
+    """Each hit with probability max_docs / hits; -1 keeps all. What a document draws is the head of SHA-256 of its key and the seed."""
     if max_docs == -1:
         return hits
     n = hits.agg(F.count("*").alias("n_hits"))
-    u = F.pmod(F.xxhash64(F.lit(seed), *hits.columns), F.lit(1_000_003)) / 1_000_003.0
+    head = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), *[F.col(c).cast("string") for c in hits.columns]), 256), 1, 13)
+    u = F.conv(head, 16, 10).cast("long") / float(1 << 52)
     return hits.crossJoin(F.broadcast(n)).filter(u < F.lit(float(max_docs)) / F.col("n_hits")).drop("n_hits")
 
 
+def budget(max_docs: int, parts: int) -> int:
+    """What each of several vectors may sample of a budget of documents; -1 is no limit, and none at all is an error."""
+    if max_docs == -1:
+        return -1
+    if (out := max_docs // max(parts, 1)) < 1:
+        raise ValueError(f"{max_docs} documents are no sample for {parts} vectors")
+    return out
+
+
+def sampled_by(rows: DataFrame, by: str, most: int, seed: int = 7) -> DataFrame:
+    """Each row with probability most / rows of its ``by``; -1 keeps all."""
+    if most == -1:
+        return rows
+    u = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in rows.columns]), F.lit(1_000_003)) / 1_000_003.0
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n_rows"))
+    return rows.join(sizes, by).filter(u < F.lit(float(most)) / F.col("n_rows")).select(*rows.columns)
+
+
+def document_vectors(corpus: Corpus, docs: DataFrame, level: str | None = None, local_how: Local = Local(), how: Aggregate = Aggregate()) -> DataFrame:
+    """``keys, term, freq, weight``: the vector of each of the documents whose keys ``docs`` has."""
+    level = level or corpus.default_level
+    keys = corpus.keys(level)
+    rows = context_rows(corpus, docs, level, local_how).select(*keys, "term", F.col("f").alias("freq"))
+    return _scale(corpus, level, rows, docs.agg(F.lit(1).alias("query_docs")), how)
+
+
 def context_rows(corpus: Corpus, hits: DataFrame, level: str, how: Local, query_terms: list[str] | None = None) -> DataFrame:
     """``keys, term, tf, f``: accepted terms of the hits' documents with their locally scaled frequency."""
     keys = corpus.keys(level)
@@ -177,15 +210,18 @@ def context_terms(corpus: Corpus, query: str, level: str | None = None, local_ho
     return context_rows(corpus, hits, level, local_how).select("term").distinct()
 
 
-def nested_vectors(corpus: Corpus, terms: DataFrame, level: str | None = None, local_how: Local = Local(), limit_query: str | None = None, hits: DataFrame | None = None) -> DataFrame:
+def nested_vectors(corpus: Corpus, terms: DataFrame, level: str | None = None, local_how: Local = Local(), limit_query: str | None = None, max_docs: int = -1) -> DataFrame:
     """``base, term, weight``: the vector of the documents that hold each of ``terms`` (and match the limiting query), all in
-    one self-join on documents instead of a query for each term."""
+    one self-join on documents instead of a query for each term. ``max_docs`` is shared by the terms and one more vector, the
+    first, as ``budget`` has it."""
     level = level or corpus.default_level
     keys = corpus.keys(level)
     rows = corpus.doc_terms(level)
     if limit_query:
         rows = rows.join(compiled(corpus, limit_query, level).hits.select(*keys), keys, "left_semi")
     base = rows.join(terms.select("term"), "term", "left_semi").select(*keys, F.col("term").alias("base"))
+    if max_docs != -1:
+        base = sampled_by(base, "base", budget(max_docs, terms.select("term").distinct().count() + 1))
     near = context_rows(corpus, base.select(*keys).distinct(), level, local_how)
     return base.join(near.select(*keys, "term", "f"), keys).groupBy("base", "term").agg(F.sum("f").cast("double").alias("weight"))
 
@@ -207,9 +243,13 @@ def vector_diff(left: DataFrame, right: DataFrame, keys: list[str], metric: str
 def diff_lists(left: DataFrame, right: DataFrame, keys: list[str], n: int) -> DataFrame:
     """``keys, list, rank, term, difference``: of each group that both sides have the most different terms, the most
     distinctive ones of either side, and the most similar ones, by normalised weights over the union of terms."""
-    l, r = (dist.normalize(v.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], "term", "weight"), keys) for v in (left, right))
-    both = l.select(*keys).distinct().join(r.select(*keys).distinct(), keys)
-    rows = dist.joined(l, r, keys, keys).join(both, keys, "left_semi").withColumn("difference", F.round(F.col("x") - F.col("y"), 9))
+    kinds, own = dict(left.dtypes), [f"k{i}" for i in range(2 * len(keys))]
+    # a null key is a group: it is a flag and an empty value while sides are joined
+    flagged = [c.alias(n) for n, c in zip(own, [x for k in keys for x in (F.col(k).isNull(), F.coalesce(F.col(k).cast("string"), F.lit("")))])]
+    l, r = (dist.normalize(v.select(*flagged, "term", "weight"), own) for v in (left, right))
+    both = l.select(*own).distinct().join(r.select(*own).distinct(), own)
+    rows = dist.joined(l, r, own, own).join(both, own, "left_semi").withColumn("difference", F.round(F.col("x") - F.col("y"), 9))
+    rows = rows.select(*[F.when(~F.col(own[2 * i]), F.col(own[2 * i + 1])).cast(kinds[k]).alias(k) for i, k in enumerate(keys)], "term", "difference")
     out = None
     for name, order in (("different", F.desc(F.abs("difference"))), ("first", F.desc("difference")), ("second", F.asc("difference")), ("similar", F.asc(F.abs("difference")))):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "term"))
@@ -218,33 +258,50 @@ def diff_lists(left: DataFrame, right: DataFrame, keys: list[str], n: int) -> Da
     return out
 
 
-def similar_collocations(corpus: Corpus, query: str, level: str | None = None, local_how: Local = Local(), how: Aggregate = Aggregate(), first_limit: int = 20, limit: int = 20, limit_query: str | None = None, second_terms: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def similar_collocations(corpus: Corpus, query: str, level: str | None = None, local_how: Local = Local(), how: Aggregate = Aggregate(), first_limit: int = 20, limit: int = 20, limit_query: str | None = None, second_terms: Callable[[DataFrame], DataFrame] | None = None, third_how: Local | None = None, max_docs: int = -1, third_docs: int = -1) -> DataFrame:
     """``metric, rank, term, distance``: terms whose own collocation vectors are nearest to the query's, for each metric.
 
-    The query's heaviest collocates lead to the terms of the documents that hold any of them; those terms' vectors come from
-    one self-join. A term with an empty vector is at distance 1."""
+    The query's heaviest collocates lead to the terms of the documents that hold any of them. Of those terms' vectors only what
+    distances need is made: sums over documents, sums over the first's terms, and squared lengths, those by ``squares``. A term
+    with an empty vector is at distance 1. ``third_how`` says what counts in those vectors (as in the others, if not given);
+    ``max_docs`` draws so many documents, about, for the first vector; ``third_docs`` are shared equally by the third ones."""
     level = level or corpus.default_level
     keys = corpus.keys(level)
-    first = top_terms(term_vector(corpus, query, level, local_how, how), first_limit)
-    holders = corpus.doc_terms(level).join(F.broadcast(first.select("term")) if first_limit != -1 else first.select("term"), "term", "left_semi").select(*keys).distinct()
+    third_how = third_how or local_how
+    first = top_terms(term_vector(corpus, query, level, local_how, how, max_docs), first_limit)
+    holders = corpus.doc_terms(level).join(F.broadcast(first.select("term")) if 0 <= first_limit <= _BROADCAST_TERMS else first.select("term"), "term", "left_semi").select(*keys).distinct()
     second = context_rows(corpus, holders, level, local_how).select("term").distinct()
     if second_terms:
         second = second_terms(second)
-    # pairs of terms are made, added up and squared as pairs of numbers
     ids = corpus.term_ids(level)
-    second = second.join(ids, "term")
+    second = written(second.join(ids, "term"), "second")
     rows = corpus.doc_terms(level)
     if limit_query:
         rows = rows.join(compiled(corpus, limit_query, level).hits.select(*keys), keys, "left_semi")
-    base = rows.join(second, "term").select(*keys, F.col("term_id").alias("base"))
-    near = context_rows(corpus, base.select(*keys).distinct(), level, local_how).join(ids, "term").select(*keys, "term_id", "f")
-    third = base.join(near, keys).groupBy("base", "term_id").agg(F.sum("f").cast("double").alias("weight"))
+    base = rows.join(second, "term").select(*keys, "term_id")
+    if third_docs != -1:
+        base = sampled_by(base, "term_id", budget(third_docs, second.count()))
+    base = base.groupBy(*keys).agg(F.collect_list("term_id").alias("bases"))
+    near = context_rows(corpus, rows.select(*keys).distinct(), level, third_how).join(ids, "term")
     own = first.join(ids, "term").select("term_id", F.col("weight").alias("y"))
-    # what a vector has of the first's terms, and its sums, in one pass over it
-    x, y = F.col("weight"), F.col("y")
-    there = third.join(F.broadcast(own) if first_limit != -1 else own, "term_id", "left")
-    both = lambda c: F.sum(F.when(y.isNotNull(), c))
-    sums = there.groupBy("base").agg(F.sum(x).alias("s"), F.sum(x * x).alias("ss"), both(x * y).alias("xy"), both(F.least(x, y)).alias("low"), both(F.abs(x - y) - x - y).alias("off"))
+    own = written(own, "first")
+    small = F.broadcast(own) if 0 <= first_limit <= _BROADCAST_TERMS else own
+    f, y = F.col("f").cast("double"), F.col("y")
+    vectors = near.join(small, "term_id", "left").groupBy(*keys).agg(
+        F.collect_list(F.struct("term_id", f.alias("f"))).alias("v"), F.sum(f).alias("s"), F.sum(f * f).alias("ss"), F.sum(f * F.coalesce(y, F.lit(0.0))).alias("xy"),
+        F.collect_list(F.when(y.isNotNull(), F.struct("term_id", f.alias("f")))).alias("met"))
+    docs = written(base.join(vectors, keys), "documents")
+    held = docs.select(F.explode("bases").alias("base"), "s", "ss", "xy", "met")
+    sums = written(held.groupBy("base").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("one"), F.sum("xy").alias("xy")), "sums")
+    shared = docs.filter(F.size("met") > 0).select(F.explode("bases").alias("base"), F.explode("met").alias("m")).groupBy("base", "m.term_id").agg(F.sum("m.f").alias("x"))
+    x = F.col("x")
+    shared = shared.join(small, "term_id").groupBy("base").agg(F.sum(F.least(x, y)).alias("low"), F.sum(F.abs(x - y) - x - y).alias("off"))
+    # a base of one document has that one's length; all others' are added up in blocks
+    many = docs.select(*keys, F.explode("bases").alias("base")).join(sums.filter("n > 1").select("base"), "base").groupBy(*keys).agg(F.collect_list("base").alias("bases"))
+    many = written(many.join(docs.select(*keys, F.col("v.term_id").alias("terms"), F.col("v.f").alias("freqs")), keys), "blocks")
+    pairs = many.agg(F.coalesce(F.sum(F.size("bases").cast("long") * F.size("terms")), F.lit(0))).first()[0]
+    sums = sums.join(squared_lengths(many, pairs), "base", "left").join(shared, "base", "left")
+    sums = sums.select("base", "s", F.coalesce("ss", "one").alias("ss"), "xy", "low", "off")
     total = own.agg(F.sum("y").alias("t"), F.sum(y * y).alias("tt"))
     rows = second.join(sums, second["term_id"] == sums["base"], "left").fillna(0.0, ["s", "ss", "xy", "low", "off"]).crossJoin(F.broadcast(total))
     empty = F.col("s") == 0
@@ -261,22 +318,29 @@ def similar_collocations(corpus: Corpus, query: str, level: str | None = None, l
     return tall.withColumn("rank", rank).filter(F.col("rank") <= limit).select("metric", "rank", "term", "distance")
 
 
-def search_distance(corpus: Corpus, query: str, vector: DataFrame, level: str | None = None, metric: str = "COSINE") -> DataFrame:
-    """``keys, distance`` of each matching document's own vector to a given one."""
+def search_distance(corpus: Corpus, query: str, vector: DataFrame, level: str | None = None, metric: str = "COSINE", local_how: Local = Local(), how: Aggregate = Aggregate(), normalization: str = "NONE") -> DataFrame:
+    """``keys, distance`` of each matching document's own vector, scaled as ``term_vector`` would, to a given one, over the union
+    of their terms."""
     level = level or corpus.default_level
     keys = corpus.keys(level)
     hits = compiled(corpus, query, level).hits.select(*keys)
-    docs = corpus.doc_terms(level).join(hits, keys, "left_semi").select(*keys, "term", F.col("tf").cast("double").alias("x"))
-    sums = docs.groupBy(*keys).agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    docs = context_rows(corpus, hits, level, local_how, _query_terms(corpus, query) if local_how.scaling == "MIN" else None).select(*keys, "term", F.col("f").alias("freq"))
+    docs = _scale(corpus, level, docs, hits.agg(F.count("*").alias("query_docs")), how).select(*keys, "term", F.col("weight").alias("x"))
+    prepare = {"NONE": lambda v, k: v, "NORMALIZE": dist.normalize, "CENTER": dist.center, "CENTERNORM": lambda v, k: dist.normalize(dist.center(v, k), k)}[normalization]
+    if normalization != "NONE":
+        docs = prepare(docs.withColumnRenamed("x", "weight"), keys).withColumnRenamed("weight", "x")
+        vector = prepare(vector.withColumn("own", F.lit(0)), ["own"])
+    sums = docs.groupBy(*keys).agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.sum(F.abs("x")).alias("sa"))
     x, y = F.col("x"), F.col("y")
     own = vector.select("term", F.col("weight").alias("y"))
-    meet = docs.join(own, "term").groupBy(*keys).agg(F.sum(x * y).alias("xy"), F.sum(F.least(x, y)).alias("low"))
-    total = own.agg(F.sum("y").alias("t"), F.sum(y * y).alias("tt"))
-    rows = sums.join(meet, keys, "left").fillna(0.0, ["xy", "low"]).crossJoin(F.broadcast(total))
+    meet = docs.join(own, "term").groupBy(*keys).agg(F.sum(x * y).alias("xy"), F.sum(F.least(x, y)).alias("low"), F.sum(F.abs(x - y) - F.abs(x) - F.abs(y)).alias("off"))
+    total = own.agg(F.sum("y").alias("t"), F.sum(y * y).alias("tt"), F.sum(F.abs(y)).alias("at"))
+    rows = sums.join(meet, keys, "left").fillna(0.0, ["xy", "low", "off"]).crossJoin(F.broadcast(total))
     d = {
         "COSINE": 1 - F.when(F.col("ss") * F.col("tt") > 0, F.col("xy") / (F.sqrt("ss") * F.sqrt("tt"))).otherwise(0.0),
         "DICE": 1 - 2 * F.col("low") / (F.col("s") + F.col("t")),
         "JACCARD": 1 - F.col("low") / (F.col("s") + F.col("t") - F.col("low")),
         "EUCLIDEAN": F.sqrt(F.greatest(F.lit(0.0), F.col("ss") + F.col("tt") - 2 * F.col("xy"))),
+        "MANHATTAN": F.sqrt(F.greatest(F.lit(0.0), F.col("sa") + F.col("at") + F.col("off"))),
     }[metric]
     return rows.select(*keys, d.alias("distance"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as text_functions
-from .store import derived
+from .store import derived, state
 
 STORED = "NUMERICDOCVALUES FLOATDOCVALUES DOUBLEDOCVALUES SORTEDDOCVALUES SORTEDNUMERICDOCVALUES SORTEDSETDOCVALUES SINGULARSTOREDFIELD MULTIPLESTOREDFIELDS TERMVECTOR LATLONDOCVALUES NONE".split()
 INDEXED = "TEXT STRING INTPOINT LONGPOINT FLOATPOINT DOUBLEPOINT LATLONPOINT NONE".split()
@@ -56,12 +57,14 @@ def spread(scan: DataFrame) -> DataFrame:
 class Corpus:
     """Levels in order from coarse to fine. Every row of a level carries the keys of the coarser ones."""
 
-    def __init__(self, spark: SparkSession, name: str, levels: list[Level], content: str = "text", default_level: str | None = None, version: str = "1", analyzers: dict[str, Callable[[Column], Column]] | None = None):
+    def __init__(self, spark: SparkSession, name: str, levels: list[Level], content: str = "text", default_level: str | None = None, version: str = "1", analyzers: dict[str, Callable[[Column], Column]] | None = None, paths: tuple[str, ...] = ()):
         self.spark, self.name, self.content, self.version = spark, name, content, version
         self.levels = {x.id: x for x in levels}
         self.order = {x.id: k for k, x in enumerate(levels)}
         self.default_level = default_level or levels[-1].id
         self.analyzers = analyzers or {}
+        #: The tables' files: when they change, derived tables are built again.
+        self.of = state(spark, *paths)
 
     def level(self, level: str | None = None) -> Level:
         try:
@@ -94,10 +97,22 @@ class Corpus:
         """Fields that all levels have."""
         return sorted(reduce(set.intersection, (set(self.rows(x).columns) for x in self.levels)))
 
+    def values(self, level: str, names: list[str]) -> DataFrame:
+        """The level's keys and fields; ``name.path`` is a value inside a JSON field, times are milliseconds."""
+        rows = self.rows(level)
+        kinds, out = dict(rows.dtypes), []
+        for name in names:
+            head, _, path = name.partition(".")
+            if name not in kinds and path:
+                out.append(F.get_json_object(head, f"$.{path}").alias(name))
+            else:
+                out.append(F.unix_millis(F.col(name).cast("timestamp")).alias(name) if kinds[name].startswith(("timestamp", "date")) else F.col(name))
+        return rows.select(*self.keys(level), *out)
+
     # derived tables
 
     def _derived(self, kind: str, level: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return derived(self.spark, (self.name, kind, level), build)
+        return derived(self.spark, (self.name, kind, level), build, self.of)
 
     def tokens(self, level: str | None = None) -> DataFrame:
         """``keys, pos, term``."""
@@ -112,9 +127,16 @@ class Corpus:
         return self._derived("tokens", own.id, build)
 
     def places(self, level: str | None = None) -> DataFrame:
-        """``keys, pos, term, start, end``."""
+        """``keys, pos, term, start, end``. An analyzer's terms are where they next occur in the text, their case aside; those that
+        don't occur so (stems, say) have no place."""
         own = self.level(level)
-        return self._derived("places", own.id, lambda: text_functions.tokens_with_places(own.text_rows(self.content), own.keys, self.content))
+
+        def build() -> DataFrame:
+            if analyzer := self.analyzers.get(self.content):
+                return text_functions.analyzed_places(own.text_rows(self.content), own.keys, self.content, analyzer)
+            return text_functions.tokens_with_places(own.text_rows(self.content), own.keys, self.content)
+
+        return self._derived("places", own.id, build)
 
     def doc_terms(self, level: str | None = None) -> DataFrame:
         """``keys, term, tf``: files are sorted by term, so a term's filter skips row groups."""
@@ -159,6 +181,11 @@ class Registry:
         except Exception as x:  # noqa: BLE001 - one broken corpus must not hide the others
             self.warnings[name] = str(x)
 
+    def open_all(self, openers: dict[str, Callable[[], Corpus]]) -> None:
+        """Several corpora at one time."""
+        with ThreadPoolExecutor() as pool:
+            list(pool.map(lambda x: self.open(*x), openers.items()))
+
     def __getitem__(self, name: str) -> Corpus:
         return self.corpora[name]
 
@@ -172,12 +199,12 @@ def read_metadata(path_or_text: str) -> dict:
     one = lambda k, f: FieldInfo(k, f.get("description", ""), f.get("storedAs", "NONE"), f.get("indexedAs", "NONE"), f.get("containsJson", False))
     common = {k: one(k, f) for k, f in raw.get("commonFields", {}).items()}
     levels = [
-        {"id": x["id"], "description": x.get("description", ""), "term": x["term"], "indices": x.get("indices") or [x.get("index", x["id"])], "preload": x.get("preload", False), "fields": {k: one(k, f) for k, f in x.get("fields", {}).items()} | common}
+        {"id": x["id"], "description": x.get("description", ""), "term": x["term"], "indices": x.get("indices") or [x.get("index", x["id"])], "preload": x.get("preload", False), "indexType": x.get("indexType", ""), "offsetDataConverter": x.get("offsetDataConverter", ""), "fields": {k: one(k, f) for k, f in x.get("fields", {}).items()} | common}
         for x in raw["levels"]
     ]
     return {
         "name": raw["name"], "version": raw["version"], "contentField": raw["contentField"], "contentTokensField": raw["contentTokensField"],
-        "defaultLevel": raw.get("defaultLevel", levels[-1]["id"]), "levels": levels, "indexingAnalyzers": raw.get("indexingAnalyzers", {}),
+        "defaultLevel": raw.get("defaultLevel", levels[-1]["id"]), "levels": levels, "indexingAnalyzers": raw.get("indexingAnalyzers", {}), "auths": raw.get("auths", {}), "offsetDataConverter": raw.get("offsetDataConverter", ""),
     }
 
 
@@ -194,7 +221,7 @@ def open_corpus(spark: SparkSession, path: str, metadata: str) -> Corpus:
             return out.persist() if x["preload"] else out
 
         levels.append(Level(x["id"], list(keys), frame, x["description"], x["fields"]))
-    return Corpus(spark, raw["name"], levels, raw["contentField"], raw["defaultLevel"], raw["version"])
+    return Corpus(spark, raw["name"], levels, raw["contentField"], raw["defaultLevel"], raw["version"], paths=tuple(f"{path}/{i}" for x in raw["levels"] for i in x["indices"]))
 
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -212,14 +239,14 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         Level("DOCUMENT", ["doc_id"], documents, texts=lambda: docs),
         Level("LINE", ["doc_id", "line_no"], split("LINE", "line_no")),
         Level("SENTENCE", ["doc_id", "sent_no"], split("SENTENCE", "sent_no")),
-    ], default_level="DOCUMENT")
+    ], default_level="DOCUMENT", paths=(f"{sf_dir}/documents.parquet",))
 
 
 def conversations_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """CONVERSATION > TURN."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     whole = lambda: turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"), F.count("*").alias("n_turns"))
-    return Corpus(spark, f"{sf_dir}/conversations", [Level("CONVERSATION", ["conv_id"], whole), Level("TURN", ["conv_id", "turn"], lambda: turns)], default_level="TURN")
+    return Corpus(spark, f"{sf_dir}/conversations", [Level("CONVERSATION", ["conv_id"], whole), Level("TURN", ["conv_id", "turn"], lambda: turns)], default_level="TURN", paths=(f"{sf_dir}/conversations.parquet",))
 
 
 def describe(corpus: Corpus) -> dict:

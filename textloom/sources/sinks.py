@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import shared_dir
@@ -24,18 +24,20 @@ def as_json(df: DataFrame, metadata: dict | None = None) -> DataFrame:
     return df.select(F.to_json(row).alias("json"))
 
 
-def as_csv(df: DataFrame, whole_score: bool = True) -> DataFrame:
-    """``line``: rows as CSV; a frequency score is a whole number. Nested columns (snippets, explanations) can't be written."""
+def _flat(df: DataFrame, whole_score: bool) -> list[Column]:
     for name, kind in df.dtypes:
         if kind.startswith(("array", "map", "struct")):
             raise ValueError(f"column {name} isn't flat")
-    columns = [F.col(c).cast("long").alias(c) if whole_score and c == "score" else F.col(f"`{c}`") for c in df.columns]
-    return df.select(F.to_csv(F.struct(*columns)).alias("line"))
+    return [F.col(c).cast("long").alias(c) if whole_score and c == "score" else F.col(f"`{c}`") for c in df.columns]
+
+
+def as_csv(df: DataFrame, whole_score: bool = True) -> DataFrame:
+    """``line``: rows as CSV; a frequency score is a whole number. Nested columns (snippets, explanations) can't be written."""
+    return df.select(F.to_csv(F.struct(*_flat(df, whole_score))).alias("line"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    as_csv(df)
-    df.write.option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, whole_score: bool = True) -> None:
+    df.select(*_flat(df, whole_score)).write.option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

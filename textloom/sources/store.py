@@ -8,14 +8,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_known: dict[tuple, DataFrame] = {}
+_known: dict[tuple, tuple[str, DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share. Where the session names none, that is one beside the warehouse, which they share too;
+    a temporary one of this machine only where the driver runs all tasks itself."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="textloom-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        at = tempfile.mkdtemp(prefix="textloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/textloom-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -34,9 +36,23 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
-def derived(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table of ``key``, built at its first use in this application."""
+def derived(spark: SparkSession, key: tuple, build: Callable[[], DataFrame], of: str = "") -> DataFrame:
+    """The table of ``key``, built at its first use in this application, and again when ``of``, its source's state, is another."""
     key = (spark.sparkContext.applicationId, *key)
-    if key not in _known:
-        _known[key] = written(build(), "-".join(str(k).rpartition("/")[2] for k in key[2:]) or "table")
-    return _known[key]
+    if key not in _known or _known[key][0] != of:
+        _known[key] = of, written(build(), "-".join(str(k).rpartition("/")[2] for k in key[2:]) or "table")
+    return _known[key][1]
+
+
+def state(spark: SparkSession, *paths: str) -> str:
+    """Number, bytes and last change of the files at ``paths``."""
+    out = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+        n = size = last = 0
+        while files.hasNext():
+            f = files.next()
+            n, size, last = n + 1, size + f.getLen(), max(last, f.getModificationTime())
+        out.append(f"{n},{size},{last}")
+    return ";".join(out)
