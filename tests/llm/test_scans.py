@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -292,25 +293,107 @@ def test_probabilities_sum_to_one_and_gradient_matches_loops(spark):
     assert c.class_rows[0][0] == c.class_rows[0][20] and c.class_rows[1][0] == c.class_rows[1][20]
 
 
+def loop_probabilities(m, c, k):
+    """P(class) and P(member | class of the target) at a place, a number at a time."""
+    out = []
+    for bias, table, rows in ((m.class_bias, m.class_rows, c.class_rows), (m.member_bias[c.target_class[k]], m.member_rows, c.member_rows)):
+        e = [math.exp(float(bias[x]) + sum(float(table[r[k], x]) for r in rows)) for x in range(64)]
+        out.append([x / sum(e) for x in e])
+    return out
+
+
+TEXTS = ["b a c d d e a b", "a", "", "a b c x y z x", "f g h i j k l m n o p", "a b c d d e a b"]
+
+
+def test_gradient_and_steps_match_loops(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    v = lm.vocabulary(docs, own=4)
+    table = settle(lm.units(docs, v), "units")
+    counts = lm._gathered(table.select("n_words", "units").mapInArrow(lm._pair_counts, lm._SUMS))
+    rng = np.random.default_rng(3)
+    m = lm.start_model(v, counts)
+    m = m._replace(class_rows=m.class_rows + rng.normal(size=m.class_rows.shape).astype(np.float32) / 4)
+    got = lm._gathered(table.select("n_words", "units").mapInArrow(lm._gradient(spark.sparkContext.broadcast(m)), lm._SUMS))
+    want, seen = {k: np.zeros_like(x) for k, x in got.items()}, {k: np.zeros_like(x) for k, x in got.items()}
+    for row in table.collect():
+        own = np.frombuffer(row.units, np.uint16)
+        c = lm.contexts(own, np.array([0, len(own)]))
+        for k in range(len(own)):
+            classes, members = loop_probabilities(m, c, k)
+            for part, p, target, rows in (("class", classes, int(own[k]) // 64, c.class_rows), ("member", members, int(own[k]) % 64, c.member_rows)):
+                for r in rows:
+                    seen[part][r[k], target] += 1
+                    for x in range(64):
+                        want[part][r[k], x] += (x == target) - p[x]
+    for part in got:
+        assert np.allclose(counts[part], seen[part]) and np.allclose(got[part], want[part], atol=1e-3)
+    stepped = lm.stepped(m, counts, want, 0.5)
+    for part, before, after, base in (("class", m.class_rows, stepped.class_rows, np.exp(m.class_bias)[None, :]), ("member", m.member_rows, stepped.member_rows, np.repeat(np.exp(m.member_bias), lm.WIDTH_M // 64, 0))):
+        step = lm.STEP * (want[part] - 0.5 * lm.RIDGE * before) / (0.5 * (seen[part] + lm.PRIOR * base + lm.RIDGE))
+        assert np.allclose(after - before, np.clip(step, -1, 1), atol=1e-3)
+
+
+def test_scores_match_loops_and_words_share_units(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    counts = lm.word_counts(docs)
+    n = Counter(" ".join(TEXTS).split())
+    hash_of = {w: int(words([w])[0][0]) for w in [*n, "never"]}
+    assert {r.hash % 2**64: r.n for r in counts.collect()} == {hash_of[w]: k for w, k in n.items()}
+    for listed in (0, 3, 1000):
+        v = lm.vocabulary_of(counts, own=2, listed=listed)
+        assert len(v.listed) <= listed and (listed < 1000 or len(v.listed) == len(n) - 2)
+        table = settle(lm.units(docs, v), "units")
+        m = lm.train_on(table, v)
+        got = {r.doc_id: r for r in lm.scores(table, m, counts).collect()}
+        seen = settle(lm.units(docs.limit(0).union(spark.createDataFrame([(9, "a never b")], docs.schema)), v), "units")
+        got |= {r.doc_id: r for r in lm.scores(seen, m, counts).collect()}
+        units = Counter()
+        for w, k in n.items():
+            units[int(lm.Lookup(v)(words([w])[0])[0])] += k
+        for i, text in [*enumerate(TEXTS), (9, "a never b")]:
+            own = lm.Lookup(v)(words([text])[0]) if text else np.zeros(0, np.uint16)
+            c = lm.contexts(own, np.array([0, len(own)]))
+            total = 0.0
+            for k, w in enumerate(text.split()):
+                classes, members = loop_probabilities(m, c, k)
+                share = 1.0 if hash_of[w] in v.hashes else max(n[w], 1) / (units[int(own[k])] + 1)
+                total += math.log(classes[own[k] // 64] * members[own[k] % 64] * share)
+            assert got[i].n_words == len(text.split()) and got[i].log_prob == pytest.approx(total, abs=1e-3)
+            assert got[i].bits_per_word is None if not text else got[i].bits_per_word == pytest.approx(-total / len(text.split()) / math.log(2), abs=1e-3)
+
+
 def test_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").dropDuplicates(["text"])
     train, test = docs.filter("doc_id % 4 <> 0"), docs.filter("doc_id % 4 = 0")
-    v = lm.vocabulary(train)
+    counts = lm.word_counts(train)
+    v = lm.vocabulary_of(counts)
     m = lm.train_on(settle(lm.units(train, v), "units"), v)
     held = settle(lm.units(test, v), "held")
-    total = lm.scores(held, m).agg(F.sum("log_prob"), F.sum("n_words")).first()
-    own = np.concatenate([np.frombuffer(r.units, np.uint16) for r in held.select("units").collect()])
-    alone = -np.log2(((v.counts + 0.5) / (v.counts + 0.5).sum())[own]).mean()
+    total = lm.scores(held, m, counts).agg(F.sum("log_prob"), F.sum("n_words")).first()
+    n = {r.hash % 2**64: r.n for r in counts.collect()}
+    sizes, tokens = sum(n.values()), words([r.text for r in test.collect()])[0].tolist()
+    alone = -sum(math.log2((n.get(t, 0) + (t not in n)) / (sizes + 1)) for t in tokens) / len(tokens)  # by words' counts alone
     assert -total[0] / total[1] / math.log(2) < alone - 0.1
     # and repeated lines are better known than shuffled ones
     row = test.orderBy(F.desc("n_chars")).first()
     tokens = row.text.split()
     np.random.default_rng(0).shuffle(tokens)
     seen = small_units(spark, [train.orderBy(F.desc("n_chars")).first().text, " ".join(tokens)], v)
-    a, b = (r.bits_per_word for r in lm.scores(seen, m).orderBy("doc_id").collect())
+    a, b = (r.bits_per_word for r in lm.scores(seen, m, counts).orderBy("doc_id").collect())
     assert a < b
 
 
+def test_documents_that_occur_twice_are_told_apart(spark, data):
+    """A text that the corpus has twice scores better than the same corpus without its second copy scores it."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").dropDuplicates(["text"]).select("doc_id", "text")
+    again = docs.filter("doc_id % 10 = 3").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text")
+    once = {r.doc_id: r.bits_per_word for r in lm.score_documents(docs).collect()}
+    twice = {r.doc_id: r.bits_per_word for r in lm.score_documents(docs.unionByName(again)).collect()}
+    better = [once[i] - twice[i] for i in once if once[i] and i % 10 == 3]
+    others = [once[i] - twice[i] for i in once if once[i] and i % 10 != 3]
+    assert np.mean(better) > 0.05 and np.quantile(better, 0.1) > np.quantile(others, 0.9)
+
+
 def test_scores_of_odd_rows(frame, odd):
     rows = lm.score_documents(frame(odd)).collect()
     assert len(rows) == len(odd)

@@ -1,10 +1,11 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
 Words map to UNITS = CLASSES x MEMBERS units: the most frequent words own one each, all others share the rest by hash.
-Units are sorted by frequency into CLASSES classes, and P(unit | context) = P(class | context) P(member | class, context). Each
-factor is a maximum-entropy model: the logits are sums of hashed rows of weights for the features of the context. For the
-class these are the word before, the one before that (a skip), and both; for the member, within its class, the word before
-and the skip.
+Units are sorted by frequency into CLASSES classes, and P(word | context) = P(class | context) P(member | class, context)
+P(word | unit). The first two are maximum-entropy models: the logits are sums of hashed rows of weights for the features of the
+context. For the class these are the word before, the one before that (a skip), and both; for the member, within its class,
+the word before and the skip. The third is 1 where a word owns its unit, otherwise n / (n of the unit + 1), n being counts in
+the corpus; the one over is for all words that it lacks, which are one unknown word with n = 1.
 
 Training is full of the corpus: words are counted over all documents; a first estimate is made from the counts of all
 (feature row, class) and (feature row, member) pairs; then ROUNDS updates follow, each with the gradient (counted minus
@@ -12,6 +13,10 @@ expected) over its share of the documents, so that every document takes part. Ta
 rows are summed by a shuffle, and the driver holds nothing but the model, whose size is a parameter (WIDTH_C, WIDTH_M rows
 of 64 numbers, 12 MB), steps and sends it out again.
 
+The counts of all words are a table that grows with the corpus and stays with the executors: the LISTED most frequent words'
+are sent to all, about; the words of documents that aren't among these meet their counts in blocks, as arrays, and a block holds
+the counts of its own words alone. Equally frequent words are one after another by hash where units are given out.
+
 Scoring walks the units in numpy batches, a few thousand sparse contexts at a time. ``log_prob`` is the natural logarithm
 of the probability of all words, ``bits_per_word`` its mean to the base two.
 
@@ -22,6 +27,7 @@ part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,6 +42,8 @@ CLASSES, MEMBERS = 64, 64
 UNITS = CLASSES * MEMBERS
 #: Words that own a unit; the other units are shared.
 OWN = 3072
+#: Words whose counts are sent to all executors, at most (16 bytes each); words of documents that a block has, about.
+LISTED, BLOCK_WORDS = 1 << 19, 1 << 22
 #: Stands before a text's first word.
 START = UNITS
 WIDTH_C, WIDTH_M = 1 << 14, 1 << 15
@@ -56,6 +64,8 @@ class Vocabulary(NamedTuple):
     units: np.ndarray  # theirs
     shared: np.ndarray  # units of the other words, by hash
     counts: np.ndarray  # of each unit
+    listed: np.ndarray = np.zeros(0, np.uint64)  # hashes of other frequent words, in order
+    listed_counts: np.ndarray = np.zeros(0, np.int64)
 
 
 class Model(NamedTuple):
@@ -94,11 +104,33 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``hash, n`` of every word of all documents, settled."""
+    return settle(docs.select("text").mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
+
+
+def _least_listed(counts: DataFrame, most: int) -> int:
+    """A count that ``most`` words have at most, or one more than any has: from how many words there are in steps of 1/8 octave."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    steps = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n"), F.max("n").alias("top")).collect(), reverse=True)
+    held, least = 0, steps[0].top + 1 if steps else 1
+    for x in steps:
+        held += x.words
+        if held > most:
+            break
+        least = x.n
+    return least
+
+
 def vocabulary(docs: DataFrame, own: int = OWN) -> Vocabulary:
-    """Units from the counts of all words of all documents."""
-    counts = settle(docs.select("text").mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
+    return vocabulary_of(word_counts(docs), own)
+
+
+def vocabulary_of(counts: DataFrame, own: int = OWN, listed: int = LISTED) -> Vocabulary:
+    """Units from the counts of all words."""
     top = counts.orderBy(F.desc("n"), "hash").limit(own).toArrow()
     rest = counts.join(F.broadcast(counts.orderBy(F.desc("n"), "hash").limit(own).select("hash")), "hash", "left_anti")
+    others = rest.filter(F.col("n") >= _least_listed(counts, listed)).toArrow()
     n_shared = UNITS - own
     shared = rest.groupBy(F.shiftrightunsigned("hash", 20).bitwiseAND(F.lit((1 << 30) - 1)).alias("slot")).agg(F.sum("n").alias("n"))
     shared = shared.groupBy((F.col("slot") % n_shared).alias("slot")).agg(F.sum("n").alias("n")).toArrow()
@@ -110,7 +142,9 @@ def vocabulary(docs: DataFrame, own: int = OWN) -> Vocabulary:
     place[np.lexsort((np.arange(UNITS), -raw))] = np.arange(UNITS)
     sorted_counts = np.empty(UNITS)
     sorted_counts[place] = raw
-    return Vocabulary(hashes, place[: len(hashes)].astype(np.uint16), place[own:].astype(np.uint16), sorted_counts)
+    names = others.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    return Vocabulary(hashes, place[: len(hashes)].astype(np.uint16), place[own:].astype(np.uint16), sorted_counts, names[order], others.column("n").to_numpy()[order])
 
 
 class Lookup:
@@ -129,32 +163,135 @@ class Lookup:
         self.known = np.append(v.hashes, np.uint64(0))
         self.units = np.append(v.units, np.uint16(0))
 
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Units of words that share theirs."""
+        return self.v.shared[((hashes >> np.uint64(20)) & np.uint64((1 << 30) - 1)) % np.uint64(len(self.v.shared))]
+
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.found(hashes)[0]
+
+    def shares(self, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Logarithms of P(word | unit) of words with count ``n`` (0: unknown) that share their units."""
+        return np.log(np.maximum(n, 1) / (self.v.counts[self.slots(hashes)] + 1))
+
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units, and the places of words that don't own theirs."""
         at = self.at[(hashes * self.factor) >> np.uint64(41)]
         out = self.units[at]
         other = np.flatnonzero((self.known[at] != hashes) | (at == len(self.v.hashes)))
-        slot = ((hashes[other] >> np.uint64(20)) & np.uint64((1 << 30) - 1)) % np.uint64(len(self.v.shared))
-        out[other] = self.v.shared[slot]
-        return out
+        out[other] = self.slots(hashes[other])
+        return out, other
 
 
 def units(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """``doc_id, share, n_words, units``: each document's units as two-byte numbers; ``share`` is a number drawn from the text."""
+    """``doc_id, share, n_words, units, row, log_listed, rest``: each document's units as two-byte numbers; ``share`` is a number
+    drawn from the text, ``row`` one of the row's own once the table is settled, ``log_listed`` the logarithm of P(word | unit)
+    over its words with listed counts, ``rest`` the hashes of those that neither own a unit nor are listed."""
     sent = docs.sparkSession.sparkContext.broadcast(v)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(sent.value)
+        v = sent.value
+        look = Lookup(v)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
                 hashes, starts = words([t or "" for t in texts[a:b]])
-                own = look(hashes) if len(hashes) else np.zeros(0, np.uint16)
-                offsets = pa.array(starts.astype(np.int64) * 2, pa.int64()).buffers()[1]
-                data = pa.Array.from_buffers(pa.large_binary(), b - a, [None, offsets, pa.py_buffer(np.ascontiguousarray(own))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("share").slice(a, b - a), pa.array(np.diff(starts).astype(np.int64)), data], ["doc_id", "share", "n_words", "units"])
+                own, other = look.found(hashes)
+                text = np.searchsorted(starts, other, "right") - 1
+                other = hashes[other]
+                at = np.searchsorted(v.listed, other)
+                known = np.append(v.listed, np.uint64(0))[at] == other
+                known &= at < len(v.listed)
+                logs = np.bincount(text[known], look.shares(other[known], v.listed_counts[at[known]]), b - a)
+                rest = np.append(0, np.cumsum(np.bincount(text[~known], minlength=b - a)))
+                columns = [pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.array(x, pa.int64()).buffers()[1], pa.py_buffer(np.ascontiguousarray(y))]).cast(pa.binary()) for x, y in ((starts.astype(np.int64) * 2, own), (rest * 8, other[~known]))]
+                logs = logs.astype(np.float64)  # of no words they are whole numbers
+                given = [batch.column(c).slice(a, b - a) for c in ("doc_id", "share", "row")]
+                yield pa.RecordBatch.from_arrays([*given[:2], pa.array(np.diff(starts).astype(np.int64)), columns[0], given[2], pa.array(logs), columns[1]], ["doc_id", "share", "n_words", "units", "row", "log_listed", "rest"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("int").alias("share"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(mapped, "doc_id long, share int, n_words long, units binary, row long, log_listed double, rest binary")
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("int").alias("share"))
-    return rows.mapInArrow(mapped, "doc_id long, share int, n_words long, units binary")
+def _block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    return (hashes >> np.uint64(33)).astype(np.int64) % blocks
+
+
+_BLOCKS = "block long, kind long, ids binary, sizes binary, hashes binary"
+
+
+def _words_by_block(blocks: int):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("rest").to_pylist()
+            hashes = np.frombuffer(b"".join(column), np.uint64)
+            text = np.repeat(np.arange(len(column)), [len(x) // 8 for x in column])
+            rows = batch.column("row").to_numpy()
+            block = _block_of(hashes, blocks)
+            order = np.argsort(block, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(block[order]))) if len(order) else []
+            out = []
+            for k, own in zip(block[order[first]].tolist(), np.split(order, first[1:])):
+                texts, n = np.unique(text[own], return_counts=True)
+                out.append((k, 1, rows[texts].tobytes(), n.tobytes(), hashes[own].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["block", "kind", "ids", "sizes", "hashes"])
+
+    return split
+
+
+def _counts_by_block(blocks: int):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, n = batch.column("hash").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+            block = _block_of(hashes, blocks)
+            order = np.argsort(block, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(block[order]))) if len(order) else []
+            if len(first):
+                out = [(k, 0, b"", n[own].tobytes(), hashes[own].tobytes()) for k, own in zip(block[order[first]].tolist(), np.split(order, first[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["block", "kind", "ids", "sizes", "hashes"])
+
+    return split
+
+
+def _looked_up(sent):
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Lookup(sent.value)
+        block, held, names, counts = None, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for k, kind, ids, sizes, hashes in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "ids", "sizes", "hashes"))):
+                if k != block:
+                    block, held, names, counts = k, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                hashes, sizes = np.frombuffer(hashes, np.uint64), np.frombuffer(sizes, np.int64)
+                if kind == 0:
+                    held.append((hashes, sizes))
+                    continue
+                if held:
+                    names, counts = map(np.concatenate, zip(*held))
+                    order = np.argsort(names)
+                    names, counts, held = names[order], counts[order], []
+                at = np.searchsorted(names, hashes)
+                known = np.append(names, np.uint64(0))[at] == hashes
+                n = np.where(known & (at < len(names)), np.append(counts, 0)[at], 0)
+                logs = np.bincount(np.repeat(np.arange(len(sizes)), sizes), look.shares(hashes, n), len(sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(logs)], ["row", "log"])
+
+    return look_up
+
+
+def rest_logs(own_units: DataFrame, v: Vocabulary, counts: DataFrame) -> DataFrame:
+    """``row, log_rest``: of each row of a settled table of units with such words, the logarithm of P(word | unit) over the words
+    whose counts aren't listed."""
+    spark = own_units.sparkSession
+    sent = spark.sparkContext.broadcast(v)
+    n = own_units.agg(F.coalesce(F.sum(F.octet_length("rest")), F.lit(0))).first()[0] // 8
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK_WORDS))
+    known = F.broadcast(spark.createDataFrame(pa.table({"hash": pa.array(v.hashes.view(np.int64))})))
+    least = int(v.listed_counts.min()) if len(v.listed) else None
+    others = (counts if least is None else counts.filter(F.col("n") < least)).join(known, "hash", "left_anti")
+    met = own_units.select("row", "rest").mapInArrow(_words_by_block(blocks), _BLOCKS).unionByName(others.mapInArrow(_counts_by_block(blocks), _BLOCKS))
+    logs = met.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(_looked_up(sent), "row long, log double")
+    return logs.groupBy("row").agg(F.sum("log").alias("log_rest"))
 
 
 # ---------------------------------------------------------------- features
@@ -352,12 +489,6 @@ def stepped(m: Model, counts: dict[str, np.ndarray], gradient: dict[str, np.ndar
     return m._replace(class_rows=m.class_rows + steps[0], member_rows=m.member_rows + steps[1])
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, own: int = OWN) -> tuple[Model, Vocabulary]:
-    """A model of the documents' texts."""
-    v = vocabulary(docs, own)
-    return train_on(settle(units(docs, v), "units"), v, rounds), v
-
-
 def train_on(own_units: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
     """A model of a settled table of units."""
     context = own_units.sparkSession.sparkContext
@@ -365,7 +496,7 @@ def train_on(own_units: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model
     m = start_model(v, counts)
     for k in range(rounds):
         part = own_units.filter(F.coalesce(F.col("share"), F.lit(0)) % rounds == k).select("n_words", "units")
-        sent = context.broadcast(m)
+        sent = context.broadcast(m._replace(vocabulary=None))
         m = stepped(m, counts, _gathered(part.mapInArrow(_gradient(sent), _SUMS)), 1 / rounds)
         sent.unpersist()
     return m
@@ -374,9 +505,9 @@ def train_on(own_units: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model
 # ---------------------------------------------------------------- scores
 
 
-def scores(own_units: DataFrame, m: Model) -> DataFrame:
-    """``doc_id, n_words, log_prob, bits_per_word`` of a table of units."""
-    sent = own_units.sparkSession.sparkContext.broadcast(m)
+def scores(own_units: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
+    """``doc_id, n_words, log_prob, bits_per_word`` of a settled table of units; ``counts`` are those the vocabulary is from."""
+    sent = own_units.sparkSession.sparkContext.broadcast(m._replace(vocabulary=None))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, starts, batch in _parts(batches):
@@ -387,15 +518,17 @@ def scores(own_units: DataFrame, m: Model) -> DataFrame:
                 logs[here] = np.log(classes[every, c.target_class[here]] / class_total) + np.log(members[every, c.target_member[here]] / member_total)
             sums = np.zeros(len(own) + 1)
             np.cumsum(logs[:-1], out=sums[1:])
-            total, n = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts)
-            bits = pa.array(-total / np.maximum(n, 1) / np.log(2), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(total), bits], ["doc_id", "n_words", "log_prob", "bits_per_word"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "n_words", "row")), pa.array(sums[starts[1:]] - sums[starts[:-1]] + batch.column("log_listed").to_numpy())], ["doc_id", "n_words", "row", "log"])
 
-    return own_units.select("doc_id", "n_words", "units").mapInArrow(scored, "doc_id long, n_words long, log_prob double, bits_per_word double")
+    rows = own_units.select("doc_id", "n_words", "units", "row", "log_listed").mapInArrow(scored, "doc_id long, n_words long, row long, log double")
+    rows = rows.join(rest_logs(own_units, m.vocabulary, counts), "row", "left")
+    total = F.col("log") + F.coalesce("log_rest", F.lit(0.0))
+    return rows.select("doc_id", "n_words", total.alias("log_prob"), F.when(F.col("n_words") > 0, -total / F.col("n_words") / math.log(2)).alias("bits_per_word"))
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Scores of all documents by a model trained on all of them."""
-    v = vocabulary(docs)
+    counts = word_counts(docs)
+    v = vocabulary_of(counts)
     own = settle(units(docs, v), "units")
-    return scores(own, train_on(own, v, rounds))
+    return scores(own, train_on(own, v, rounds), counts)
