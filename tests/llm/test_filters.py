@@ -354,18 +354,67 @@ def test_near_copies_of_the_table(spark, data):
     assert all(r.group_size == sizes[r.first_id] for r in found)
 
 
+def test_links_are_all_pairs_of_the_table(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    pairs, groups = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
+    links = Counter(x for p in pairs for x in p)
+    found = near.near_links(docs).collect()
+    assert {r.doc_id: (r.first_id, r.links) for r in found} == {i: (g, links[i]) for i, g in groups.items()}
+
+
+@pytest.mark.parametrize(("grams", "tile"), [(1 << 22, 512), (2000, 7), (100, 512)])
+def test_link_counts_in_blocks(spark, grams, tile, monkeypatch):
+    monkeypatch.setattr(near, "TILE", tile)  # workers keep theirs; the function is called here too
+    rows = planted(5, 3, 30)[:90]
+    sets = [np.array(sorted(x), np.uint32) for x in sets_of([t for _, t in rows])]
+    copies = [1 + k % 3 for k in range(len(rows))]
+    pairs, _ = brute_groups(rows)
+    want = Counter()
+    for a, b in pairs:
+        if a // 30 == b // 30:
+            want[a] += copies[b]
+            want[b] += copies[a]
+    table = spark.createDataFrame([(i, i // 30, bytearray(s.tobytes()), c) for (i, _), s, c in zip(rows, sets, copies)], "doc_id long, first_id long, grams binary, copies long")
+    assert {r.doc_id: r.n for r in near.link_counts(table, block_grams=grams).collect()} == {i: want[i] for i, _ in rows}
+    n = near._counts(None, np.array(copies[:30]), sets[:30], near.THRESHOLD)
+    assert n.tolist() == [want[i] for i in range(30)]
+
+
+def family(n, seed=7):
+    """Sets of which any two are about half alike, on both sides of the threshold."""
+    rng = random.Random(seed)
+    common = [f"c{k}" for k in range(210)]
+    return [(k, " ".join(common[: rng.choice([190, 200, 210])] + [f"w{rng.randrange(10**9)}" for _ in range(90)])) for k in range(n)]
+
+
+@pytest.mark.parametrize("most_rows", [near.MOST_ROWS, 150])
+def test_a_family_that_is_half_alike(frame, most_rows, monkeypatch):
+    rows = family(600)
+    pairs, groups = brute_groups(rows)
+    seen = []
+    verified = near._verified
+    monkeypatch.setattr(near, "_verified", lambda links, *x: (seen.append(links.count()), verified(links, *x))[1])
+    found = {r.doc_id: r.first_id for r in near.near_groups(frame(rows), most_rows=most_rows).collect()}
+    assert len(pairs) > 50_000 and found == groups and sum(seen) < 12 * len(rows)
+
+
+def test_roots_reach_the_recall_at_any_depth():
+    assert near.survival(0.5, 3) == pytest.approx(0.7639, abs=1e-4)
+    assert 1 - (1 - near.THRESHOLD * near.survival()) ** near.ROOTS >= near.RECALL > 1 - (1 - near.THRESHOLD * near.survival()) ** (near.ROOTS - 1)
+
+
 def test_large_nodes(monkeypatch):
     rng = np.random.default_rng(0)
     bases = rng.integers(0, 256, (30, near.COORDINATES), dtype=np.uint8)
     sig = np.repeat(bases, 40, 0)
     change = rng.random(sig.shape) < 0.1
     sig[change] = rng.integers(0, 256, change.sum())
-    links = [x for seed in range(near.TREES) for x in near.compare_node(sig, seed)]
+    links = [x for seed in range(5) for x in near.compare_node(sig, seed)[0]]
     forest = near.Forest(len(sig))
     for a, b in links:
         forest.join(a, b)
         assert a // 40 == b // 40
-    assert len({forest.root(k) for k in range(len(sig))}) == 30 and len(links) < near.TREES * len(sig)
+    assert len({forest.root(k) for k in range(len(sig))}) == 30 and len(links) < 5 * len(sig)
 
 
 def test_near_copies_of_odd_rows(frame, odd):

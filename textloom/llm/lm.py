@@ -54,7 +54,7 @@ STEP = 0.5
 #: Strength of the pull of weights to zero, in counts: what keeps rare features from being learnt by heart.
 RIDGE = 6.0
 #: Places whose gradients are added up together, and whose logits are computed together.
-CHUNK, PIECE = 1 << 15, 1 << 11
+CHUNK, PIECE = 1 << 13, 1 << 11
 #: Rows of one block of gradients.
 BLOCK = 64
 

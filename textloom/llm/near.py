@@ -1,18 +1,28 @@
 """Near duplicates by a chosen-path set similarity join over MinHash coordinates.
 
 A document is the set of its word SHINGLE-grams (case and punctuation aside); two are near duplicates if the Jaccard
-similarity of their sets is THRESHOLD or more. COORDINATES minwise tokens stand for a set. Each of TREES independent
-trees branches recursively: a node chooses BRANCHES of the coordinates, and the documents that agree in one go to the same
-child. With 1/THRESHOLD branches a pair at the threshold is expected to share a child at every level, and dissimilar pairs
-part. A node of SMALL documents or fewer is compared exhaustively; one of up to MOST_ROWS is branched further inside its
-task; one beyond that is cut into blocks, each pair of blocks a node of MOST_ROWS at most that another shuffle brings
-together, so all its documents meet and no node has to fit anywhere. In a large node a pivot takes all documents that are
-clearly its copies along: they are linked to it, and nodes that hold linked documents alone end.
-
-Comparisons estimate similarity with a margin (MARGIN), and every link is then verified on the whole sets. Documents with
-equal sets are one from the start. Links become groups by alternating large and small stars, each round written to the
-shared folder. All documents are queries; no number of partners is capped. Of the pairs in a node that are clearly alike a
-spanning forest goes to verification, which is what groups need; of the others all whose ends it doesn't connect.
+similarity of their sets is THRESHOLD or more. COORDINATES minwise tokens stand for a set. Independent trees branch
+recursively: a root chooses one coordinate, a node within BRANCHES of them, and the documents that agree in one go to the same
+child. With three branches a pair at a threshold of a half stays together in some child with a probability that doesn't fall
+with depth (``survival``), so the number of roots follows from RECALL, whatever the depth; dissimilar pairs part. A node of
+SMALL documents or fewer is compared exhaustively, and one that a chosen coordinate doesn't split too, since such a pair may
+agree in nothing else; one of up to MOST_ROWS is branched inside its task. A larger one is branched by a further shuffle, and if
+that leaves more than half of it in a child, that is cut into blocks, each pair of blocks a node of MOST_ROWS at most, so all its
+documents meet and no node has to fit anywhere. Two blocks of documents that are known to be linked don't meet.
+
+Comparisons estimate similarity with a margin (MARGIN), and every link is then verified on the whole sets, in rounds: first
+stars, of the documents of each large node that look alike to one of PIVOTS of them; then, of the pairs that look clearly alike,
+spanning forests, and of the others FEW between any two groups that verified links connect so far; last, where there were more,
+all whose ends are still apart. Families of documents that are half alike thus take about as many links as documents. No number
+of partners is capped. Documents with equal sets are one from the start. Links become groups by alternating large and small
+stars, each round written to the shared folder.
+
+``links`` of a document are counted within its group, where all sets meet in blocks: every other document whose set is at
+THRESHOLD or more, whether the join had found the pair or not. Copies count each.
+
+What may be missed: a pair that shares no root and branch (1 - RECALL at the threshold, less above it), and one whose estimate
+is MARGIN below the threshold while it is at it (2.4 standard deviations of 64 coordinates: 1 of 100 pairs at the threshold
+exactly, next to none 0.05 above it). Groups lose by it only what no other path connects.
 
 Defined results: a text without words, a null text and a null doc_id take no part (their rows stay); a text of fewer words
 than SHINGLE is one shingle; texts are read whole; rows that repeat a doc_id are one document, of which equal rows stay
@@ -21,6 +31,7 @@ once; ties go to the least doc_id; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,8 +45,9 @@ from .common import drop_by, keep_by, mix, one_of_repeated, settle, slices, span
 THRESHOLD = 0.5
 SHINGLE = 3
 COORDINATES = 64
-TREES = 5
-BRANCHES = 2
+#: Of pairs at the threshold that trees shall bring together.
+RECALL = 0.99
+BRANCHES = 3
 MARGIN = 0.15
 #: Estimates this far above the threshold are clear: more than three standard deviations.
 CLEAR = 0.2
@@ -43,13 +55,29 @@ SMALL = 160
 TINY = 12
 MOST_ROWS = 100_000
 DEEPEST = 24
+#: Documents of a large node whose stars are verified first; unclear pairs of two groups in a node that are verified next.
+PIVOTS, FEW = 4, 4
+#: 32-bit hashes of the sets in one of the blocks in which links are counted, about; documents compared at one time there.
+BLOCK_GRAMS, TILE = 1 << 22, 512
+
+
+def survival(threshold: float = THRESHOLD, branches: int = BRANCHES) -> float:
+    """The probability that a pair stays together however deep a tree is: one less the chance that its line dies out."""
+    q = 0.0
+    for _ in range(10_000):
+        q = (1 - threshold + threshold * q) ** branches
+    return 1 - q
+
+
+#: A root agrees with probability THRESHOLD; so many of them reach RECALL.
+ROOTS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD * survival()))
 
 _rng = np.random.default_rng(0xC405E)
 _XOR = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-#: The coordinates that each tree's root chooses.
-_ROOT = np.concatenate([_rng.permutation(COORDINATES) for _ in range(1 + TREES * BRANCHES // COORDINATES)])[: TREES * BRANCHES]
-_ROOT_SALT = _rng.integers(0, 1 << 63, TREES * BRANCHES, dtype=np.uint64)
+#: The coordinates that the roots choose.
+_ROOT = np.concatenate([_rng.permutation(COORDINATES) for _ in range(1 + ROOTS // COORDINATES)])[:ROOTS]
+_ROOT_SALT = _rng.integers(0, 1 << 63, ROOTS, dtype=np.uint64)
 
 SKETCH = "doc_id long, sig binary, nodes array<long>, grams binary, f1 long, f2 long"
 
@@ -135,26 +163,54 @@ class Forest:
         return x != y
 
 
-def _linking(forest: Forest, i: np.ndarray, j: np.ndarray, alike: np.ndarray, clear: float) -> list[tuple[int, int]]:
-    """The pairs that verification has to see: of clear ones a spanning forest, the most alike first; of the others all that
-    clear pairs don't connect, since each of them may be the one that holds."""
+STARS, MOST, REST = range(3)
+Pair = tuple[int, int]
+
+
+def _linking(forest: Forest, i: np.ndarray, j: np.ndarray, alike: np.ndarray, clear: float, step: int) -> tuple[list[Pair], bool]:
+    """The pairs that verification has to see: of clear ones a spanning forest, the most alike first; of the others those that
+    clear pairs don't connect, FEW between two groups unless ``step`` is REST. And whether there were more."""
     sure = np.flatnonzero(alike >= clear)
     sure = sure[np.lexsort((j[sure], i[sure], -alike[sure]))]
     out = [(x, y) for x, y in zip(i[sure].tolist(), j[sure].tolist()) if forest.join(x, y)]
     rest = alike < clear
-    i, j = i[rest], j[rest]
-    if len(i):
-        rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        roots = np.array([forest.root(x) for x in rows.tolist()])[at]
-        apart = roots[: len(i)] != roots[len(i) :]
-        out += zip(i[apart].tolist(), j[apart].tolist())
-    return out
-
-
-def compare_node(sig: np.ndarray, seed: int, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Links among the rows of one node, to be verified."""
+    i, j, alike = i[rest], j[rest], alike[rest]
+    if not len(i):
+        return out, False
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    roots = np.array([forest.root(x) for x in rows.tolist()])[at]
+    x, y = roots[: len(i)], roots[len(i) :]
+    apart = np.flatnonzero(x != y)
+    if step != REST and len(apart):
+        low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        order = np.lexsort((j[apart], i[apart], -alike[apart], high, low))
+        low, high = low[order], high[order]
+        first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        few = apart[order[rank < FEW]]
+        return out + list(zip(i[few].tolist(), j[few].tolist())), len(few) < len(apart)
+    return out + list(zip(i[apart].tolist(), j[apart].tolist())), False
+
+
+def _places(docs: np.ndarray) -> np.ndarray:
+    """A few documents, the same ones in any node that has them."""
+    return np.argsort(mix(docs.view(np.uint64)), kind="stable")[:PIVOTS]
+
+
+def _stars(pivots: np.ndarray, pivot_docs: np.ndarray, sig: np.ndarray, docs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that look alike to a pivot, with it."""
+    found = [(d, docs[(sig == p).sum(1) >= least]) for p, d in zip(pivots, pivot_docs)]
+    return np.concatenate([np.full(len(x), d) for d, x in found]), np.concatenate([x for _, x in found])
+
+
+def compare_node(sig: np.ndarray, seed: int, threshold: float = THRESHOLD, group: np.ndarray | None = None, step: int = REST) -> tuple[list[Pair], bool]:
+    """Links among the rows of one node, to be verified, and whether some are left for the last round. Rows of one ``group``
+    are linked already."""
     least, clear = (threshold - MARGIN) * COORDINATES, min(threshold + CLEAR, 0.97) * COORDINATES
     forest, out = Forest(len(sig)), []
+    if group is not None:
+        _, first, of = np.unique(group, return_index=True, return_inverse=True)
+        forest.up = first[of].tolist()
     found_i, found_j, found_alike = [], [], []
     stack = [(np.arange(len(sig)), 0, seed)]
     while stack:
@@ -162,7 +218,7 @@ def compare_node(sig: np.ndarray, seed: int, threshold: float = THRESHOLD) -> li
         own = sig[rows]
         n = len(rows)
         if n > SMALL:
-            for pivot in range(3):  # those alike the pivot are linked to it
+            for pivot in range(3):  # those clearly alike the pivot are linked to it
                 at = (pivot * 0x9E3779B1 + seed) % n
                 near = np.flatnonzero((own == own[at]).sum(1) >= clear)
                 if len(near) < 0.05 * n:
@@ -173,10 +229,10 @@ def compare_node(sig: np.ndarray, seed: int, threshold: float = THRESHOLD) -> li
         if (group == group[0]).all():
             continue
         if n <= SMALL or depth >= DEEPEST:
-            step = max(1, (1 << 22) // (n * COORDINATES))
-            for a in range(0, n, step):
-                alike = (own[a : a + step, None, :] == own[None, :, :]).sum(2, dtype=np.uint8)
-                alike[group[a : a + step, None] == group[None, :]] = 0
+            step_rows = max(1, (1 << 22) // (n * COORDINATES))
+            for a in range(0, n, step_rows):
+                alike = (own[a : a + step_rows, None, :] == own[None, :, :]).sum(2, dtype=np.uint8)
+                alike[group[a : a + step_rows, None] == group[None, :]] = 0
                 x, y = np.nonzero(alike >= least)
                 keep = x + a < y
                 found_i.append(rows[x[keep] + a])
@@ -184,50 +240,68 @@ def compare_node(sig: np.ndarray, seed: int, threshold: float = THRESHOLD) -> li
                 found_alike.append(alike[x[keep], y[keep]].astype(np.int64))
             continue
         rng = np.random.default_rng([seed & 0x7FFFFFFF, depth])
+        children, whole = [], False
         for c in rng.choice(COORDINATES, BRANCHES, replace=False).tolist():
             order = np.argsort(own[:, c], kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(own[order, c])) + 1):
-                if len(part) > 1:
-                    stack.append((rows[part], depth + 1 if len(part) < n else DEEPEST, (seed * 1000003 + c * 257 + int(own[part[0], c])) & 0x7FFFFFFF))
+            parts = np.split(order, np.flatnonzero(np.diff(own[order, c])) + 1)
+            whole |= len(parts) == 1
+            children += [(rows[part], depth + 1, (seed * 1000003 + c * 257 + int(own[part[0], c])) & 0x7FFFFFFF) for part in parts if len(part) > 1]
+        stack += [(rows, DEEPEST, seed)] if whole else children  # a coordinate in which all agree: nothing may be parted
+    more = False
     if found_i:
-        out += _linking(forest, *map(np.concatenate, (found_i, found_j, found_alike)), clear)
-    return out
+        links, more = _linking(forest, *map(np.concatenate, (found_i, found_j, found_alike)), clear, step)
+        out += links
+    return out, more
 
 
-PAIRS = "a long, b long, node long, doc_id long, sig binary"
+PAIRS = "a long, b long, node long, doc_id long, sig binary, of long, parent long"
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, pa.nulls(len(a), pa.binary())], ["a", "b", "node", "doc_id", "sig"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, pa.nulls(len(a), pa.binary()), none, none], ["a", "b", "node", "doc_id", "sig", "of", "parent"])
 
 
-def _passed(node: int, place: int, docs: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+def _passed(place: int, node: np.ndarray, docs: np.ndarray, sig: np.ndarray, of: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
     """Rows of a node too large for a task, as they are; ``a`` is their place in it, from ``place`` on."""
     n = len(docs)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(place, place + n)), pa.nulls(n, pa.int64()), pa.array(np.full(n, node)), pa.array(docs), pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), n, [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())],
-        ["a", "b", "node", "doc_id", "sig"],
-    )
+    sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), n, [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(place, place + n)), pa.nulls(n, pa.int64()), pa.array(node), pa.array(docs), sigs, pa.array(of), pa.array(parent)], ["a", "b", "node", "doc_id", "sig", "of", "parent"])
+
 
+def _children(rows: DataFrame) -> DataFrame:
+    """The next nodes of rows (node, n, ...): a coordinate for each branch, drawn for the node."""
+    start = F.pmod(F.xxhash64("node"), F.lit(COORDINATES)).cast("int")
+    branches = F.array(*[F.xxhash64("node", F.lit(k), F.substring(F.col("sig"), F.pmod(start + k * (COORDINATES // BRANCHES), F.lit(COORDINATES)) + 1, F.lit(1))) for k in range(BRANCHES)])
+    return rows.select(F.explode(branches).alias("node"), "doc_id", "sig", "of", F.col("n").alias("parent"))
 
-def _block_pairs(passed: DataFrame, most_rows: int) -> DataFrame:
-    """Nodes of ``most_rows`` or fewer in which any two rows of a passed node meet: the pairs of its blocks."""
-    size = most_rows // 2
-    blocks = passed.groupBy("node").agg(F.floor(F.max("a") / size).alias("last"))
-    own = F.floor(F.col("a") / size)
-    rows = passed.join(F.broadcast(blocks), "node").withColumn("own", own)  # a row for each node that was too large
-    rows = rows.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), "last"), lambda x: x != F.col("own"))))
-    return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "sig")
 
+def _block_pairs(rows: DataFrame, most_rows: int) -> DataFrame:
+    """Nodes of ``most_rows`` or fewer in which any two rows of a passed node meet that aren't linked: the pairs of its blocks.
+    Rows come by group, so most blocks of a large group have no other rows."""
+    rows = rows.withColumn("own", F.floor(F.col("a") / (most_rows // 2)))
+    blocks = settle(rows.groupBy("node", "own").agg(F.min("of").alias("low"), F.max("of").alias("high")), "blocks")
+    x, y = (blocks.select("node", *[F.col(c).alias(side + c) for c in ("own", "low", "high")]) for side in ("x", "y"))
+    linked = (F.col("xlow") == F.col("xhigh")) & (F.col("ylow") == F.col("yhigh")) & (F.col("xlow") == F.col("ylow"))
+    pairs = x.join(y, "node").filter((F.col("xown") < F.col("yown")) & ~linked)
+    sides = pairs.select(F.col("node"), F.explode(F.array("xown", "yown")).alias("own"), F.xxhash64("node", "xown", "yown").alias("pair"))
+    return rows.join(sides, ["node", "own"]).select(F.col("pair").alias("node"), "doc_id", "sig", "of", F.lit(0).cast("long").alias("parent"))
 
-def _compared(threshold: float, most_rows: int):
+
+def _compared(threshold: float, most_rows: int, step: int):
     least, clear = (threshold - MARGIN) * COORDINATES, min(threshold + CLEAR, 0.97) * COORDINATES
 
-    def whole_nodes(node: np.ndarray, docs: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def whole_nodes(node: np.ndarray, docs: np.ndarray, sig: np.ndarray, of: np.ndarray, parent: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         size = np.diff(np.append(first, len(node)))
-        out: list[tuple[int, int]] = []
+        if step == STARS:
+            for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
+                own = slice(at, at + n)
+                p = _places(docs[own]) + at
+                yield _pairs(*_stars(sig[p], docs[p], sig[own], docs[own], threshold * COORDINATES))
+            return
+        out: list[Pair] = []
+        more = False
         # tiny nodes all at once: each row with the next, the one after it ...
         in_tiny = np.repeat((size > 1) & (size <= TINY), size)
         left = np.repeat(first + size, size) - np.arange(len(node)) - 1
@@ -236,48 +310,69 @@ def _compared(threshold: float, most_rows: int):
             x = np.flatnonzero(in_tiny & (left >= k))
             if not len(x):
                 break
+            x = x[of[x] != of[x + k]]
             same = (sig[x] == sig[x + k]).sum(1)
             x, same = x[same >= least], same[same >= least]
             i.append(x)
             j.append(x + k)
             alike.append(same)
         if i:
-            out += _linking(Forest(len(node)), *map(np.concatenate, (i, j, alike)), clear)
+            forest = Forest(len(node))
+            kept = np.flatnonzero(in_tiny)
+            _, begin, at = np.unique(np.stack([node[kept], of[kept]]), axis=1, return_index=True, return_inverse=True)
+            for x, y in zip(kept.tolist(), kept[begin[at.ravel()]].tolist()):
+                forest.up[x] = y
+            links, more = _linking(forest, *map(np.concatenate, (i, j, alike)), clear, step)
+            out += links
         for at, n in zip(first[size > TINY].tolist(), size[size > TINY].tolist()):
-            out += [(at + x, at + y) for x, y in compare_node(sig[at : at + n], int(node[at]) & 0x7FFFFFFF, threshold)]
+            own = slice(at, at + n)
+            links, again = compare_node(sig[own], int(node[at]) & 0x7FFFFFFF, threshold, of[own], step)
+            out += [(at + x, at + y) for x, y in links]
+            more |= again
         if out:
             x, y = np.array(out).T
             yield _pairs(docs[x], docs[y])
+        if more:
+            yield _pairs(np.array([MORE]), np.array([MORE]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         held_rows, open_node, place = 0, None, 0
+        pivots = pivot_docs = None
+
+        def passed(place: int, *columns: np.ndarray) -> pa.RecordBatch:
+            node, docs, sig, of, parent = columns
+            return _pairs(*_stars(pivots, pivot_docs, sig, docs, threshold * COORDINATES)) if step == STARS else _passed(place, node, docs, sig, of, parent)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, docs = batch.column("node").to_numpy(), batch.column("doc_id").to_numpy()
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            node, docs, of, parent = (batch.column(c).to_numpy() for c in ("node", "doc_id", "of", "parent"))
+            columns = (node, docs, np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES), of, parent)
             if place:  # the open node is being passed on
                 more = int(np.searchsorted(node != open_node, True)) if node[-1] != open_node else len(node)
                 if more:
-                    yield _passed(open_node, place, docs[:more], sig[:more])
+                    yield passed(place, *(c[:more] for c in columns))
                     place += more
-                node, docs, sig = node[more:], docs[more:], sig[more:]
+                columns = tuple(c[more:] for c in columns)
+                node = columns[0]
                 if not len(node):
                     continue
                 place = 0
-            held.append((node, docs, sig))
+            held.append(columns)
             held_rows += len(node)
             tail = len(node) - int(np.searchsorted(node == node[-1], True)) if node[0] != node[-1] else len(node)
             if tail < len(node) or held[0][0][0] != node[0]:  # all but the last node are whole
-                node, docs, sig = map(np.concatenate, zip(*held))
-                cut = len(node) - tail
-                yield from whole_nodes(node[:cut], docs[:cut], sig[:cut])
-                held, held_rows = [(node[cut:], docs[cut:], sig[cut:])], tail
+                columns = tuple(map(np.concatenate, zip(*held)))
+                cut = len(columns[0]) - tail
+                yield from whole_nodes(*(c[:cut] for c in columns))
+                held, held_rows = [tuple(c[cut:] for c in columns)], tail
             if held_rows > most_rows:
-                node, docs, sig = map(np.concatenate, zip(*held))
-                open_node, place = int(node[0]), len(node)
-                yield _passed(open_node, 0, docs, sig)
+                columns = tuple(map(np.concatenate, zip(*held)))
+                open_node, place = int(columns[0][0]), len(columns[0])
+                p = _places(columns[1])
+                pivots, pivot_docs = columns[2][p], columns[1][p]
+                yield passed(0, *columns)
                 held, held_rows = [], 0
         if held:
             yield from whole_nodes(*map(np.concatenate, zip(*held)))
@@ -285,20 +380,29 @@ def _compared(threshold: float, most_rows: int):
     return compare
 
 
-def candidate_links(sketches: DataFrame, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:
-    """``a, b`` (a < b): links to be verified."""
+#: Both ends of the pair that says that pairs are left.
+MORE = -(1 << 62)
+_ENTRY = ["node", "doc_id", "sig", "of", "parent"]
+
+
+def candidate_links(entries: DataFrame, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS, step: int = REST) -> tuple[DataFrame, bool]:
+    """``a, b`` (a < b): links to be verified, of entries (node, doc_id, sig, of: what it is linked to, parent: rows of the node
+    before); and whether some are left."""
     if most_rows < 2:
         raise ValueError("two rows have to meet in a node: most_rows is 2 at least")
-    entries = sketches.select(F.explode("nodes").alias("node"), "doc_id", "sig")
     links = []
     while True:
-        found = entries.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(_compared(threshold, most_rows), PAIRS)
+        found = entries.select(*_ENTRY).repartition("node").sortWithinPartitions("node", "of", "doc_id").mapInArrow(_compared(threshold, most_rows, step), PAIRS)
         found = settle(found, "links")
         links.append(found.filter("node is null").select("a", "b"))
-        passed = found.filter("node is not null").select("a", "node", "doc_id", "sig")
+        passed = found.filter("node is not null").select("a", *_ENTRY)
         if passed.isEmpty():
-            return reduce(DataFrame.unionByName, links).filter("a <> b").distinct()
-        entries = _block_pairs(passed, most_rows)
+            every = reduce(DataFrame.unionByName, links)
+            return every.filter("a <> b").distinct(), not every.filter(F.col("a") == MORE).isEmpty()
+        sizes = passed.groupBy("node").agg(F.count("*").alias("n"))
+        rows = passed.join(sizes, "node")
+        parted = F.col("n") * 2 <= F.col("parent")
+        entries = _children(rows.filter(parted)).unionByName(_block_pairs(rows.filter(~parted), most_rows))
 
 
 # ---------------------------------------------------------------- verification and groups
@@ -347,24 +451,147 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("doc_id"), F.col("b").alias("first_id")).unionByName(firsts)
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:
-    """``doc_id, first_id, group_size`` of each document that has near duplicates: the least doc_id and size of its group."""
+def _verified(links: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """The links at ``threshold`` or more."""
+    links = settle(links, "candidates")
+    named = settle(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
+    sets = settle(keep_by(own.select("doc_id", "grams"), named), "sets")
+    pairs = links.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("right")), "b")
+    return settle(pairs.select("a", "b", F.arrow_udf(jaccard_of, "double")("left", "right").alias("j")).filter(F.col("j") >= threshold).select("a", "b"), "verified")
+
+
+def _sketches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all documents; of each set's documents but the first, that one; sketches of the sets' first documents."""
     some = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     sketches = settle(some.mapInArrow(_sketched, SKETCH), "sketches")
     equal = sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("f1", "f2", "first_id")
     equal = settle(sketches.select("doc_id", "f1", "f2").join(equal, ["f1", "f2"]).select("doc_id", "first_id").filter("doc_id <> first_id").distinct(), "equal")
-    own = sketches if equal.isEmpty() else drop_by(sketches, equal.select("doc_id"))
-    links = settle(candidate_links(own, threshold, most_rows), "candidates")
-    named = settle(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
-    sets = settle(keep_by(own.select("doc_id", "grams"), named), "sets")
-    pairs = links.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("right")), "b")
-    verified = pairs.select("a", "b", F.arrow_udf(jaccard_of, "double")("left", "right").alias("j")).filter(F.col("j") >= threshold).select("a", "b")
-    linked = verified.unionByName(equal.select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")))
-    groups = components(linked)
+    return sketches, equal, sketches if equal.isEmpty() else drop_by(sketches, equal.select("doc_id"))
+
+
+def _grouped(own: DataFrame, equal: DataFrame, threshold: float, most_rows: int) -> DataFrame:
+    """``doc_id, first_id`` of each document in a group."""
+    rows = own.select("doc_id", "sig", "nodes")
+    nodes = rows.select(F.explode("nodes").alias("node"))
+    large = settle(nodes.groupBy("node").count().filter(F.col("count") > SMALL).select("node"), "large")
+    verified, groups = [equal.select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))], None
+    for step in ((MOST, REST) if large.isEmpty() else (STARS, MOST, REST)):
+        known = rows if groups is None else rows.join(groups, "doc_id", "left")
+        of = F.col("doc_id") if groups is None else F.coalesce("first_id", "doc_id")
+        entries = known.select(F.explode("nodes").alias("node"), "doc_id", "sig", of.alias("of"), F.lit(1 << 62).alias("parent"))
+        links, more = candidate_links(entries.join(large, "node", "left_semi") if step == STARS else entries, threshold, most_rows, step)
+        verified.append(_verified(links, own, threshold))
+        groups = settle(components(reduce(DataFrame.unionByName, verified)), "groups")
+        if step == MOST and not more:
+            break
+    return groups
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:
+    """``doc_id, first_id, group_size`` of each document that has near duplicates: the least doc_id and size of its group."""
+    _, equal, own = _sketches(docs)
+    return _with_sizes(_grouped(own, equal, threshold, most_rows))
+
+
+def _with_sizes(groups: DataFrame) -> DataFrame:
     sizes = groups.groupBy("first_id").agg(F.count("*").alias("group_size"))
     return groups.join(sizes, "first_id").select("doc_id", "first_id", "group_size")
 
 
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:
+    """``near_groups`` with ``links``, the number of other documents that are near duplicates of this one."""
+    sketches, equal, own = _sketches(docs)
+    groups = _grouped(own, equal, threshold, most_rows)
+    # a set stands for all its documents
+    held = settle(sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("copies")), "copies")
+    sets = own.join(groups, "doc_id").select("doc_id", "first_id", "grams").join(held.select("doc_id", "copies"), "doc_id")
+    links = link_counts(settle(sets, "members"), threshold).join(held, "doc_id").select("f1", "f2", (F.col("n") + F.col("copies") - 1).alias("links"))
+    named = sketches.select("doc_id", "f1", "f2").join(links, ["f1", "f2"]).groupBy("doc_id").agg(F.max("links").alias("links"))
+    return _with_sizes(groups).join(named, "doc_id")
+
+
+def link_counts(sets: DataFrame, threshold: float = THRESHOLD, block_grams: int | None = None) -> DataFrame:
+    """``doc_id, n`` of settled sets (doc_id, first_id, grams, copies): the documents of the other sets of its group that are at
+    ``threshold`` or more. A group of many sets is cut into blocks by a hash; any two blocks meet in a task."""
+    size = block_grams or BLOCK_GRAMS
+    blocks = sets.groupBy("first_id").agg(F.ceil(F.sum(F.octet_length("grams")) / (4 * size)).cast("long").alias("blocks"))
+    rows = sets.join(blocks, "first_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select("first_id", low.alias("low"), high.alias("high"), F.col("own").cast("long").alias("own"), "doc_id", "copies", "grams")
+    key = F.xxhash64("first_id", "low", "high")
+    counted = rows.repartition(key).sortWithinPartitions("first_id", "low", "high").mapInArrow(_counted_links(threshold), "doc_id long, n long")
+    return counted.groupBy("doc_id").agg(F.sum("n").alias("n"))
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
+
+
+def _counts(own: np.ndarray | None, copies: np.ndarray, grams: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Of each set the copies of sets that are near: of those in the other block of ``own``, or of all others where it is None."""
+    n, out = len(grams), np.zeros(len(grams), np.int64)
+    sizes = np.array([len(g) for g in grams])
+    tiles = [np.arange(a, min(a + TILE, n)) for a in range(0, n, TILE)]
+    names, at = np.unique(np.concatenate(grams), return_inverse=True)
+    starts = np.append(0, np.cumsum(sizes))
+
+    def dense(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        place = np.full(len(names), -1)
+        place[columns] = np.arange(len(columns))
+        table = np.zeros((len(rows), len(columns)), bool)
+        for k, r in enumerate(rows):
+            c = place[at[starts[r] : starts[r + 1]]]
+            table[k, c[c >= 0]] = True
+        return table
+
+    for i, x in enumerate(tiles):
+        for y in tiles[i:]:
+            shared = np.zeros((len(x), len(y)), np.int64)
+            mine, theirs = (np.unique(np.concatenate([at[starts[r] : starts[r + 1]] for r in rows])) for rows in (x, y))
+            both = np.intersect1d(mine, theirs, assume_unique=True)
+            for a in range(0, len(both), 1 << 14):
+                columns = both[a : a + (1 << 14)]
+                shared += _overlaps(dense(x, columns), dense(y, columns))
+            near = shared >= threshold * (sizes[x][:, None] + sizes[y][None, :] - shared)
+            if own is not None:
+                near &= own[x][:, None] != own[y][None, :]
+            if x is y:
+                near &= ~np.eye(len(x), dtype=bool)
+                out[x] += near @ copies[y]
+            else:
+                out[x] += near @ copies[y]
+                out[y] += copies[x] @ near
+    return out
+
+
+def _counted_links(threshold: float):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def ready() -> pa.RecordBatch:
+            own, docs, copies, grams = zip(*held)
+            if len(held) == 2 and key[1] == key[2]:  # most groups are two documents
+                shared = len(np.intersect1d(grams[0], grams[1], assume_unique=True))
+                near = shared >= threshold * (len(grams[0]) + len(grams[1]) - shared)
+                n = np.array([copies[1], copies[0]]) * near
+            else:
+                n = _counts(None if key[1] == key[2] else np.array(own), np.array(copies), list(grams), threshold)
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n"])
+
+        for batch in batches:
+            for first, low, high, own, doc, copies, grams in zip(*(batch.column(c).to_pylist() for c in ("first_id", "low", "high", "own", "doc_id", "copies", "grams"))):
+                if (first, low, high) != key:
+                    if held:
+                        yield ready()
+                    key, held = (first, low, high), []
+                held.append((own, doc, copies, np.frombuffer(grams, np.uint32)))
+        if held:
+            yield ready()
+
+    return count
+
+
 def drop_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id; every document outside groups."""
     groups = settle(near_groups(docs, threshold).select("doc_id", "first_id"), "groups")

@@ -53,8 +53,8 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that has near duplicates, with its group."""
-    return near.near_groups(table(spark, sf_dir, "documents"))
+    """Every document that has near duplicates, with its group and its number of links."""
+    return near.near_links(table(spark, sf_dir, "documents"))
 
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
