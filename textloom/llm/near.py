@@ -57,6 +57,8 @@ MOST_ROWS = 100_000
 DEEPEST = 24
 #: Documents of a large node whose stars are verified first; unclear pairs of two groups in a node that are verified next.
 PIVOTS, FEW = 4, 4
+#: Pairs of a node that are judged in one part, about.
+PAIRS_TOGETHER = 20_000
 #: 32-bit hashes of the sets in one of the blocks in which links are counted, about; documents compared at one time there.
 BLOCK_GRAMS, TILE = 1 << 22, 512
 
@@ -167,16 +169,16 @@ STARS, MOST, REST = range(3)
 Pair = tuple[int, int]
 
 
-def _linking(forest: Forest, i: np.ndarray, j: np.ndarray, alike: np.ndarray, clear: float, step: int) -> tuple[list[Pair], bool]:
+def _linking(forest: Forest, i: np.ndarray, j: np.ndarray, alike: np.ndarray, clear: float, step: int) -> tuple[list[Pair], np.ndarray]:
     """The pairs that verification has to see: of clear ones a spanning forest, the most alike first; of the others those that
-    clear pairs don't connect, FEW between two groups unless ``step`` is REST. And whether there were more."""
+    clear pairs don't connect, FEW between two groups unless ``step`` is REST. And a row of each pair that is left."""
     sure = np.flatnonzero(alike >= clear)
     sure = sure[np.lexsort((j[sure], i[sure], -alike[sure]))]
     out = [(x, y) for x, y in zip(i[sure].tolist(), j[sure].tolist()) if forest.join(x, y)]
     rest = alike < clear
     i, j, alike = i[rest], j[rest], alike[rest]
     if not len(i):
-        return out, False
+        return out, i
     rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
     roots = np.array([forest.root(x) for x in rows.tolist()])[at]
     x, y = roots[: len(i)], roots[len(i) :]
@@ -187,9 +189,9 @@ def _linking(forest: Forest, i: np.ndarray, j: np.ndarray, alike: np.ndarray, cl
         low, high = low[order], high[order]
         first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
         rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        few = apart[order[rank < FEW]]
-        return out + list(zip(i[few].tolist(), j[few].tolist())), len(few) < len(apart)
-    return out + list(zip(i[apart].tolist(), j[apart].tolist())), False
+        few, left = apart[order[rank < FEW]], apart[order[rank >= FEW]]
+        return out + list(zip(i[few].tolist(), j[few].tolist())), i[left]
+    return out + list(zip(i[apart].tolist(), j[apart].tolist())), i[:0]
 
 
 def _places(docs: np.ndarray) -> np.ndarray:
@@ -249,31 +251,33 @@ def compare_node(sig: np.ndarray, seed: int, threshold: float = THRESHOLD, group
         stack += [(rows, DEEPEST, seed)] if whole else children  # a coordinate in which all agree: nothing may be parted
     more = False
     if found_i:
-        links, more = _linking(forest, *map(np.concatenate, (found_i, found_j, found_alike)), clear, step)
+        links, left = _linking(forest, *map(np.concatenate, (found_i, found_j, found_alike)), clear, step)
         out += links
+        more = len(left) > 0
     return out, more
 
 
-PAIRS = "a long, b long, node long, doc_id long, sig binary, of long, parent long"
+PAIRS = "a long, b long, node long, doc_id long, sig binary, of long, parent long, root long"
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _pairs(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Pairs and, as ``root``, the node they are from."""
     none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, pa.nulls(len(a), pa.binary()), none, none], ["a", "b", "node", "doc_id", "sig", "of", "parent"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, pa.nulls(len(a), pa.binary()), none, none, pa.array(at)], ["a", "b", "node", "doc_id", "sig", "of", "parent", "root"])
 
 
-def _passed(place: int, node: np.ndarray, docs: np.ndarray, sig: np.ndarray, of: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
+def _passed(place: int, node: np.ndarray, docs: np.ndarray, sig: np.ndarray, of: np.ndarray, parent: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
     """Rows of a node too large for a task, as they are; ``a`` is their place in it, from ``place`` on."""
     n = len(docs)
     sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), n, [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(place, place + n)), pa.nulls(n, pa.int64()), pa.array(node), pa.array(docs), sigs, pa.array(of), pa.array(parent)], ["a", "b", "node", "doc_id", "sig", "of", "parent"])
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(place, place + n)), pa.nulls(n, pa.int64()), pa.array(node), pa.array(docs), sigs, pa.array(of), pa.array(parent), pa.array(root)], ["a", "b", "node", "doc_id", "sig", "of", "parent", "root"])
 
 
 def _children(rows: DataFrame) -> DataFrame:
     """The next nodes of rows (node, n, ...): a coordinate for each branch, drawn for the node."""
     start = F.pmod(F.xxhash64("node"), F.lit(COORDINATES)).cast("int")
     branches = F.array(*[F.xxhash64("node", F.lit(k), F.substring(F.col("sig"), F.pmod(start + k * (COORDINATES // BRANCHES), F.lit(COORDINATES)) + 1, F.lit(1))) for k in range(BRANCHES)])
-    return rows.select(F.explode(branches).alias("node"), "doc_id", "sig", "of", F.col("n").alias("parent"))
+    return rows.select(F.explode(branches).alias("node"), "doc_id", "sig", "of", F.col("n").alias("parent"), "root")
 
 
 def _block_pairs(rows: DataFrame, most_rows: int) -> DataFrame:
@@ -285,23 +289,24 @@ def _block_pairs(rows: DataFrame, most_rows: int) -> DataFrame:
     linked = (F.col("xlow") == F.col("xhigh")) & (F.col("ylow") == F.col("yhigh")) & (F.col("xlow") == F.col("ylow"))
     pairs = x.join(y, "node").filter((F.col("xown") < F.col("yown")) & ~linked)
     sides = pairs.select(F.col("node"), F.explode(F.array("xown", "yown")).alias("own"), F.xxhash64("node", "xown", "yown").alias("pair"))
-    return rows.join(sides, ["node", "own"]).select(F.col("pair").alias("node"), "doc_id", "sig", "of", F.lit(0).cast("long").alias("parent"))
+    return rows.join(sides, ["node", "own"]).select(F.col("pair").alias("node"), "doc_id", "sig", "of", F.lit(0).cast("long").alias("parent"), "root")
 
 
 def _compared(threshold: float, most_rows: int, step: int):
     least, clear = (threshold - MARGIN) * COORDINATES, min(threshold + CLEAR, 0.97) * COORDINATES
 
-    def whole_nodes(node: np.ndarray, docs: np.ndarray, sig: np.ndarray, of: np.ndarray, parent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def whole_nodes(node: np.ndarray, docs: np.ndarray, sig: np.ndarray, of: np.ndarray, parent: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         size = np.diff(np.append(first, len(node)))
         if step == STARS:
             for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
                 own = slice(at, at + n)
                 p = _places(docs[own]) + at
-                yield _pairs(*_stars(sig[p], docs[p], sig[own], docs[own], threshold * COORDINATES))
+                a, b = _stars(sig[p], docs[p], sig[own], docs[own], threshold * COORDINATES)
+                yield _pairs(a, b, np.full(len(a), node[at]))
             return
         out: list[Pair] = []
-        more = False
+        again: list[np.ndarray] = []
         # tiny nodes all at once: each row with the next, the one after it ...
         in_tiny = np.repeat((size > 1) & (size <= TINY), size)
         left = np.repeat(first + size, size) - np.arange(len(node)) - 1
@@ -322,18 +327,19 @@ def _compared(threshold: float, most_rows: int, step: int):
             _, begin, at = np.unique(np.stack([node[kept], of[kept]]), axis=1, return_index=True, return_inverse=True)
             for x, y in zip(kept.tolist(), kept[begin[at.ravel()]].tolist()):
                 forest.up[x] = y
-            links, more = _linking(forest, *map(np.concatenate, (i, j, alike)), clear, step)
+            links, left = _linking(forest, *map(np.concatenate, (i, j, alike)), clear, step)
             out += links
+            again.append(root[left])
         for at, n in zip(first[size > TINY].tolist(), size[size > TINY].tolist()):
             own = slice(at, at + n)
-            links, again = compare_node(sig[own], int(node[at]) & 0x7FFFFFFF, threshold, of[own], step)
+            links, more = compare_node(sig[own], int(node[at]) & 0x7FFFFFFF, threshold, of[own], step)
             out += [(at + x, at + y) for x, y in links]
-            more |= again
+            again += [root[at : at + 1]] if more else []
         if out:
             x, y = np.array(out).T
-            yield _pairs(docs[x], docs[y])
-        if more:
-            yield _pairs(np.array([MORE]), np.array([MORE]))
+            yield _pairs(docs[x], docs[y], node[x])
+        if again and len(again := np.unique(np.concatenate(again))):
+            yield _pairs(np.full(len(again), MORE), np.full(len(again), MORE), again)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -341,14 +347,16 @@ def _compared(threshold: float, most_rows: int, step: int):
         pivots = pivot_docs = None
 
         def passed(place: int, *columns: np.ndarray) -> pa.RecordBatch:
-            node, docs, sig, of, parent = columns
-            return _pairs(*_stars(pivots, pivot_docs, sig, docs, threshold * COORDINATES)) if step == STARS else _passed(place, node, docs, sig, of, parent)
+            if step != STARS:
+                return _passed(place, *columns)
+            a, b = _stars(pivots, pivot_docs, columns[2], columns[1], threshold * COORDINATES)
+            return _pairs(a, b, np.full(len(a), open_node))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, docs, of, parent = (batch.column(c).to_numpy() for c in ("node", "doc_id", "of", "parent"))
-            columns = (node, docs, np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES), of, parent)
+            node, docs, *others = (batch.column(c).to_numpy() for c in ("node", "doc_id", "of", "parent", "root"))
+            columns = (node, docs, np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES), *others)
             if place:  # the open node is being passed on
                 more = int(np.searchsorted(node != open_node, True)) if node[-1] != open_node else len(node)
                 if more:
@@ -380,25 +388,26 @@ def _compared(threshold: float, most_rows: int, step: int):
     return compare
 
 
-#: Both ends of the pair that says that pairs are left.
+#: Both ends of the pair that says that pairs of a node are left.
 MORE = -(1 << 62)
-_ENTRY = ["node", "doc_id", "sig", "of", "parent"]
+_ENTRY = ["node", "doc_id", "sig", "of", "parent", "root"]
 
 
-def candidate_links(entries: DataFrame, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS, step: int = REST) -> tuple[DataFrame, bool]:
-    """``a, b`` (a < b): links to be verified, of entries (node, doc_id, sig, of: what it is linked to, parent: rows of the node
-    before); and whether some are left."""
+def candidate_links(entries: DataFrame, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS, step: int = REST) -> tuple[DataFrame, DataFrame]:
+    """``a, b, at`` (a < b): links to be verified, and a node they are from, of entries (node, doc_id, sig, of: what it is linked
+    to, parent: rows of the node before); and the nodes in which some are left."""
+    entries = entries.withColumn("root", F.col("node"))
     if most_rows < 2:
         raise ValueError("two rows have to meet in a node: most_rows is 2 at least")
     links = []
     while True:
         found = entries.select(*_ENTRY).repartition("node").sortWithinPartitions("node", "of", "doc_id").mapInArrow(_compared(threshold, most_rows, step), PAIRS)
         found = settle(found, "links")
-        links.append(found.filter("node is null").select("a", "b"))
+        links.append(found.filter("node is null").select("a", "b", "root"))
         passed = found.filter("node is not null").select("a", *_ENTRY)
         if passed.isEmpty():
             every = reduce(DataFrame.unionByName, links)
-            return every.filter("a <> b").distinct(), not every.filter(F.col("a") == MORE).isEmpty()
+            return every.filter("a <> b").groupBy("a", "b").agg(F.min("root").alias("at")), every.filter(F.col("a") == MORE).select(F.col("root").alias("node")).distinct()
         sizes = passed.groupBy("node").agg(F.count("*").alias("n"))
         rows = passed.join(sizes, "node")
         parted = F.col("n") * 2 <= F.col("parent")
@@ -408,10 +417,9 @@ def candidate_links(entries: DataFrame, threshold: float = THRESHOLD, most_rows:
 # ---------------------------------------------------------------- verification and groups
 
 
-def jaccard_of(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Jaccard similarity of two sorted sets of 32-bit hashes."""
-    out = np.zeros(len(left))
-    x, y = left.to_pylist(), right.to_pylist()
+def jaccards(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Jaccard similarities of two lists of sorted sets of 32-bit hashes."""
+    out = np.zeros(len(x))
     at, held = 0, 0
     for k in range(len(x) + 1):
         if k == len(x) or held > 1 << 21:
@@ -425,7 +433,38 @@ def jaccard_of(left: pa.Array, right: pa.Array) -> pa.Array:
             at, held = k, 0
         if k < len(x):
             held += len(x[k]) + len(y[k])
-    return pa.array(out)
+    return out
+
+
+def _judged(threshold: float):
+    """Pairs at the threshold, of rows by key: sets (kind 0: a, grams), then pairs (kind 1: a, b)."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, bytes] = {}
+        pairs: list[tuple[int, int, bytes, bytes]] = []
+        key, size = None, 0
+
+        def judged() -> pa.RecordBatch:
+            a, b, x, y = zip(*pairs)
+            near = np.flatnonzero(jaccards(list(x), list(y)) >= threshold)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(c)[near], pa.int64()) for c in (a, b)], ["a", "b"])
+
+        for batch in batches:
+            for k, kind, a, b, grams in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "a", "b", "grams"))):
+                if k != key:
+                    key, sets = k, {}
+                if kind == 0:
+                    sets[a] = grams
+                    continue
+                pairs.append((a, b, sets[a], sets[b]))
+                size += len(sets[a]) + len(sets[b])
+                if size > 1 << 23:
+                    yield judged()
+                    pairs, size = [], 0
+        if pairs:
+            yield judged()
+
+    return judge
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -452,12 +491,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _verified(links: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
-    """The links at ``threshold`` or more."""
+    """The links at ``threshold`` or more. Pairs of one node are judged together, so that a set is moved once for all of them;
+    those of a node with many pairs in parts."""
     links = settle(links, "candidates")
     named = settle(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
     sets = settle(keep_by(own.select("doc_id", "grams"), named), "sets")
-    pairs = links.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("right")), "b")
-    return settle(pairs.select("a", "b", F.arrow_udf(jaccard_of, "double")("left", "right").alias("j")).filter(F.col("j") >= threshold).select("a", "b"), "verified")
+    parts = links.groupBy("at").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).alias("parts")).filter("parts > 1")  # few: each has many pairs
+    keyed = links.join(parts, "at", "left").select(F.xxhash64("at", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))).alias("key"), "a", "b")
+    keyed = settle(keyed, "keyed")
+    needs = keyed.select("key", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
+    rows = needs.select("key", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    rows = rows.unionByName(keyed.select("key", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams")))
+    return settle(rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_judged(threshold), "a long, b long"), "verified")
 
 
 def _sketches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -479,10 +524,11 @@ def _grouped(own: DataFrame, equal: DataFrame, threshold: float, most_rows: int)
         known = rows if groups is None else rows.join(groups, "doc_id", "left")
         of = F.col("doc_id") if groups is None else F.coalesce("first_id", "doc_id")
         entries = known.select(F.explode("nodes").alias("node"), "doc_id", "sig", of.alias("of"), F.lit(1 << 62).alias("parent"))
-        links, more = candidate_links(entries.join(large, "node", "left_semi") if step == STARS else entries, threshold, most_rows, step)
+        nodes = large if step == STARS else left if step == REST else None
+        links, left = candidate_links(entries if nodes is None else entries.join(nodes, "node", "left_semi"), threshold, most_rows, step)
         verified.append(_verified(links, own, threshold))
         groups = settle(components(reduce(DataFrame.unionByName, verified)), "groups")
-        if step == MOST and not more:
+        if step == MOST and left.isEmpty():
             break
     return groups
 
