@@ -550,8 +550,9 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, most_rows: int = M
     groups = _grouped(own, equal, threshold, most_rows)
     # a set stands for all its documents
     held = settle(sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("copies")), "copies")
-    sets = own.join(groups, "doc_id").select("doc_id", "first_id", "grams").join(held.select("doc_id", "copies"), "doc_id")
-    links = link_counts(settle(sets, "members"), threshold).join(held, "doc_id").select("f1", "f2", (F.col("n") + F.col("copies") - 1).alias("links"))
+    known = settle(groups.join(held.select("doc_id", "copies"), "doc_id"), "members")  # of each set of a group
+    sets = keep_by(own.select("doc_id", "grams"), known.select("doc_id")).join(known, "doc_id")
+    links = link_counts(settle(sets, "sets"), threshold).join(held, "doc_id").select("f1", "f2", (F.col("n") + F.col("copies") - 1).alias("links"))
     named = sketches.select("doc_id", "f1", "f2").join(links, ["f1", "f2"]).groupBy("doc_id").agg(F.max("links").alias("links"))
     return _with_sizes(groups).join(named, "doc_id")
 
