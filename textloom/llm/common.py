@@ -145,6 +145,11 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 BROADCAST_ROWS = 500_000
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """A settled table of two numbers a row at most, for a join: broadcast up to BROADCAST_ROWS, beyond that hashed in a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
 def with_key(docs: DataFrame) -> DataFrame:
     """``doc_id, key`` of each row: ``key`` tells apart rows that share an id but not a text."""
     return docs.select("doc_id", F.xxhash64("text").alias("key"))
@@ -153,7 +158,7 @@ def with_key(docs: DataFrame) -> DataFrame:
 def _by(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
     names = {n: free_name(docs, "by_" + n) for n in decided.columns}
     decided = decided.select(*[F.col(n).alias(as_) for n, as_ in names.items()])
-    decided = F.broadcast(decided) if decided.count() <= BROADCAST_ROWS else decided.hint("shuffle_hash")
+    decided = checked(decided)
     same = docs["doc_id"] == decided[names["doc_id"]]
     if "key" in names:
         same &= F.xxhash64(docs["text"]) == decided[names["key"]]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_by, keep_by, mix, one_of_repeated, settle, slices, span_hashes, with_key, words
+from .common import checked, drop_by, keep_by, mix, one_of_repeated, settle, slices, span_hashes, with_key, words
 
 THRESHOLD = 0.5
 SHINGLE = 3
@@ -521,11 +521,12 @@ def _grouped(own: DataFrame, equal: DataFrame, threshold: float, most_rows: int)
     large = settle(nodes.groupBy("node").count().filter(F.col("count") > SMALL).select("node"), "large")
     verified, groups = [equal.select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))], None
     for step in ((MOST, REST) if large.isEmpty() else (STARS, MOST, REST)):
-        known = rows if groups is None else rows.join(groups, "doc_id", "left")
+        known = rows if groups is None else rows.join(checked(groups), "doc_id", "left")
         of = F.col("doc_id") if groups is None else F.coalesce("first_id", "doc_id")
         entries = known.select(F.explode("nodes").alias("node"), "doc_id", "sig", of.alias("of"), F.lit(1 << 62).alias("parent"))
         nodes = large if step == STARS else left if step == REST else None
-        links, left = candidate_links(entries if nodes is None else entries.join(nodes, "node", "left_semi"), threshold, most_rows, step)
+        links, left = candidate_links(entries if nodes is None else entries.join(checked(nodes), "node", "left_semi"), threshold, most_rows, step)
+        left = settle(left, "left")
         verified.append(_verified(links, own, threshold))
         groups = settle(components(reduce(DataFrame.unionByName, verified)), "groups")
         if step == MOST and left.isEmpty():
