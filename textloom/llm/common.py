@@ -141,12 +141,12 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- keeping and dropping rows
 
-#: A table of decisions is sent to every executor up to this many rows (16 bytes each); beyond it, it is joined in a shuffle.
+#: A table of decisions is sent to every executor up to this many rows (of 16 or 24 bytes); beyond it, it is joined in a shuffle.
 BROADCAST_ROWS = 500_000
 
 
 def checked(df: DataFrame) -> DataFrame:
-    """A settled table of two numbers a row at most, for a join: broadcast up to BROADCAST_ROWS, beyond that hashed in a shuffle."""
+    """A settled table of a few numbers a row, for a join: broadcast up to BROADCAST_ROWS, beyond that hashed in a shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
 
 

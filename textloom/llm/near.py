@@ -510,7 +510,7 @@ def _sketches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     some = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     sketches = settle(some.mapInArrow(_sketched, SKETCH), "sketches")
     equal = sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("f1", "f2", "first_id")
-    equal = settle(sketches.select("doc_id", "f1", "f2").join(equal, ["f1", "f2"]).select("doc_id", "first_id").filter("doc_id <> first_id").distinct(), "equal")
+    equal = settle(sketches.select("doc_id", "f1", "f2").join(checked(settle(equal, "firsts")), ["f1", "f2"]).select("doc_id", "first_id").filter("doc_id <> first_id").distinct(), "equal")
     return sketches, equal, sketches if equal.isEmpty() else drop_by(sketches, equal.select("doc_id"))
 
 
@@ -552,9 +552,9 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, most_rows: int = M
     # a set stands for all its documents
     held = settle(sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("copies")), "copies")
     known = settle(groups.join(held.select("doc_id", "copies"), "doc_id"), "members")  # of each set of a group
-    sets = keep_by(own.select("doc_id", "grams"), known.select("doc_id")).join(known, "doc_id")
+    sets = keep_by(own.select("doc_id", "grams"), known.select("doc_id")).join(checked(known), "doc_id")
     links = link_counts(settle(sets, "sets"), threshold).join(held, "doc_id").select("f1", "f2", (F.col("n") + F.col("copies") - 1).alias("links"))
-    named = sketches.select("doc_id", "f1", "f2").join(links, ["f1", "f2"]).groupBy("doc_id").agg(F.max("links").alias("links"))
+    named = sketches.select("doc_id", "f1", "f2").join(checked(settle(links, "counts")), ["f1", "f2"]).groupBy("doc_id").agg(F.max("links").alias("links"))
     return _with_sizes(groups).join(named, "doc_id")
 
 
