@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +92,16 @@ def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[i
         yield at, len(texts)
 
 
+def text_slices(column: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a column (null as empty), about ``most`` bytes at a time, each time with the place of the first."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+        a = b
+
+
 BASE = 0x9E3779B97F4A7C15 | 1
 _inverse = pow(BASE, -1, 1 << 64)
 

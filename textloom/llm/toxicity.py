@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import settle, text_slices
 
 _ENGLISH = {
     **dict.fromkeys(
@@ -209,10 +209,9 @@ def toxicity(text: Column, lang: Column | None = None, lexicon: Mapping | None =
     def scored(column: pa.Array, langs: pa.Array) -> pa.Array:
         matcher = _matcher(*key)
         score, hits = np.zeros(len(column)), np.zeros(len(column), np.int32)
-        texts, languages = column.to_pylist(), langs.to_pylist()
-        for a, b in slices(texts):
-            group = [t or "" for t in texts[a:b]]
-            for k, weights in matcher.found(*_fold(group), languages[a:b]).items():
+        languages = langs.to_pylist()
+        for a, group in text_slices(column):
+            for k, weights in matcher.found(*_fold(group), languages[a : a + len(group)]).items():
                 score[a + k], hits[a + k] = 1000.0 * math.fsum(weights) / max(len(group[k]), floor), len(weights)
         return pa.StructArray.from_arrays([pa.array(score), pa.array(hits)], ["score", "hits"])
 
@@ -223,12 +222,11 @@ def toxicity(text: Column, lang: Column | None = None, lexicon: Mapping | None =
 
 
 def _folded(column: pa.Array) -> pa.Array:
-    texts = [t or "" for t in column.to_pylist()]
-    out: list[str] = []
-    for a, b in slices(texts):
-        folded, at = _fold(texts[a:b])
-        out += [folded[x + 1 : y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-    return pa.array([x.strip() for x in out])
+    out: list[pa.Array] = [pa.array([], pa.string())]
+    for _, group in text_slices(column):
+        folded, at = _fold(group)
+        out.append(pa.array([folded[x + 1 : y].strip() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.string()))
+    return pa.concat_arrays(out)
 
 
 def _language(docs: DataFrame) -> Column:
