@@ -201,6 +201,22 @@ def brute_tree(text):
 TEXT = "\n\n".join("\n".join(f"paragraph {s} {k} with words" for k in range(30)) for s in range(5))
 
 
+@pytest.mark.parametrize(
+    ("digits", "want"),
+    [("20011399256199", "2001-01-01T00:00:00Z"), ("20010230010203", "2001-02-01T00:00:00Z"), ("20000229235959", "2000-02-29T23:59:59Z"), ("20010203046001", "2001-02-03T04:00:00Z"), ("2001", "2001-01-01T00:00:00Z"), ("20011", "2001-01-01T00:00:00Z"), ("0000", "0001-01-01T00:00:00Z")],
+)
+def test_arc_dates_are_of_the_calendar(digits, want):
+    assert arc.warc_date(digits) == want
+
+
+def test_arc_rows_without_a_header_are_told(spark):
+    members = [(1, b"http://a/ 192.0.2.1 20010203040506 text/plain 2\nok"), (2, b"no header\nx"), (None, b"")]
+    rows = spark.createDataFrame([(i, "x.arc", 0, 1, bytearray(m), "extra") for i, m in members], "id long, archive string, number long, version int, member binary, line string")
+    assert [r.id for r in arc.convert(rows).collect()] == [1]
+    assert {(r.id, r.line) for r in arc.unread(rows).collect()} == {(2, "no header"), (None, "")}
+    assert arc.unread(rows.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("text", ["", "\n\n", "a", "a\nb\n\nc", TEXT, "x" * 100_000, "é\r\n \t\nü"])
 def test_trees(text):
     root, hashes, ends, leaves, _ = merkle.tree(text)

@@ -10,12 +10,14 @@ record number, URL, date and digest, the date from the 14 digits, SHA-256 digest
 Defined results: a null or empty page is a record with an HTTP header alone; a null URL is ``unknown:``; blanks in a URL
 are written as %20; a declared length beyond the data gives ``WARC-Truncated: length`` and the bytes that are there; less
 than the data, the rest is left out (in a file the next header is sought after it); a line that is no header is skipped
-up to the next that is; dates of other than 14 digits are padded with the least valid ones; repeated rows are records each;
-an empty table gives an empty result; other columns take no part.
+up to the next that is, and a row without a header gives no record but a row of ``unread``; dates that are short, or no date
+of the calendar, keep what is valid before that and are padded with the least valid ones; a null ``page_id`` stays null as ``id``
+and counts as record 0; repeated rows are records each; an empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
 
+import calendar
 import hashlib
 import re
 import zlib
@@ -70,8 +72,18 @@ def version_of(block: bytes) -> int:
 
 
 def warc_date(digits: str) -> str:
-    digits = digits + "00000101000000"[len(digits) :]
-    return f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}T{digits[8:10]}:{digits[10:12]}:{digits[12:14]}Z"
+    """The date of up to 14 digits; from the first part on that is missing or isn't in the calendar, the least valid ones."""
+    year = max(int(digits[:4]), 1)
+    parts, least, most = [], (1, 1, 0, 0, 0), [12, 31, 23, 59, 59]
+    for at, low in enumerate(least):
+        given = digits[4 + 2 * at : 6 + 2 * at]
+        if len(given) < 2 or not low <= int(given) <= most[at]:
+            break
+        parts.append(int(given))
+        if at == 0:
+            most[1] = calendar.monthrange(year, parts[0])[1]
+    month, day, hour, minute, second = (*parts, *least[len(parts) :])
+    return f"{year:04}-{month:02}-{day:02}T{hour:02}:{minute:02}:{second:02}Z"
 
 
 def _kind(header: Header, block: bytes) -> tuple[str, str]:
@@ -165,6 +177,19 @@ def convert(records: DataFrame) -> DataFrame:
     return records.select("id", "archive", "number", "version", "member").mapInArrow(converted, WARC)
 
 
+def unread(records: DataFrame) -> DataFrame:
+    """``id, archive, number, version, line``: the rows that ``convert`` makes no record of, as their first line is no header."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [m.partition(b"\n")[0] for m in batch.column("member").to_pylist()]
+            bad = pa.array([parse_header(line, v) is None for line, v in zip(lines, batch.column("version").to_pylist())], pa.bool_())
+            own = [batch.column(c) for c in ("id", "archive", "number", "version")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([x.decode("utf-8", "replace") for x in lines], pa.string())], ["id", "archive", "number", "version", "line"]).filter(bad)
+
+    return records.select("id", "archive", "number", "version", "member").mapInArrow(kept, "id long, archive string, number long, version int, line string")
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
