@@ -1,13 +1,17 @@
 """Source weights, sequences, planes: totals and expectations, exact round trips."""
 
 import math
+import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from textloom.llm import mixing, packing, planes
+from textloom.llm import mixing, packing, planes, tokens
 from textloom.llm.tokens import tokenizer
 
 
@@ -111,6 +115,71 @@ def test_buckets_on_disk(frame, spark, tmp_path):
     assert {r.length for r in back.filter("bucket = 1").collect()} == {2}
 
 
+_HELD = """
+import ctypes, gc, io, random, re
+import pyarrow as pa
+from textloom.llm import exact, near, packing
+
+def held():
+    gc.collect()
+    return int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batches(n):
+    rng = random.Random(n)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(30_000)]
+    for _ in range(n):
+        texts = [" ".join(rng.choices(words, k=100)) for _ in range(8_000)]
+        rows = pa.RecordBatch.from_arrays([pa.array(range(8_000)), pa.array(range(8_000)), pa.array(texts)], ["doc_id", "key", "text"])
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, rows.schema) as stream:
+            stream.write_batch(rows)
+        yield out.getvalue().to_pybytes()
+
+def task(given):
+    for data in given:  # a copy in Arrow's memory, as from a socket
+        yield from pa.ipc.open_stream(pa.PythonFile(io.BytesIO(data), "r"))
+
+given = list(batches(2))
+for worker in (packing._packed(packing.VOCABULARY, 13), exact._recipes, exact._chunks, near._sketched):
+    for _ in worker(x.slice(0, 50) for x in task(given)):  # tables and modules are loaded once
+        pass
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    before = held()
+    for rows in worker(task(given)):
+        del rows
+    print(held() - before)
+"""
+
+
+def test_idle_workers_hold_little():
+    """What a task of a worker used, two batches of 6 MB of text here, goes back to the system: idle workers count for their executor."""
+    out = subprocess.run([sys.executable, "-c", _HELD], capture_output=True, text=True, check=True)
+    packed, *others = map(float, out.stdout.split())
+    assert packed < 37 and max(others) < 14, out.stdout  # packing keeps the pieces it knows
+
+
+def test_texts_are_strings_a_group_at_a_time(monkeypatch, encoder):
+    monkeypatch.setattr(packing, "_GROUP_CHARS", 100)
+    texts = [f"text number {i} é" if i % 7 else None for i in range(60)] + ["long " * 50, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    found = list(packing._packed(packing.VOCABULARY, 13)(iter([batch])))
+    assert len(found) > 10
+    ids = {}
+    for s in sorted((r for b in found for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["piece"])):
+        ids.setdefault(s["doc_id"], []).extend(np.frombuffer(s["ids"], np.uint16).tolist())
+    assert ids == {i: e for i, t in enumerate(texts) if (e := encoder.encode_ordinary(t or ""))}
+
+
+def test_ids_after_the_cache_was_cleared(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 2)
+    own = tokens.Tokenizer()
+    rng = random.Random(4)
+    for n in (4000, 9000):  # the second text has more ids than the first had when the cache is cleared
+        text = " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n))
+        assert own.encode([text])[0].tolist() == own.encoder.encode_ordinary(text)
+
+
 # ---------------------------------------------------------------- planes
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,47 @@ def text_slices(column: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int
         a = b
 
 
+# ---------------------------------------------------------------- memory of workers
+
+
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim  # of glibc alone
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def hand_back() -> None:
+    """Give memory that is free in this process back to the system. Spark keeps idle workers, several for each core once a
+    task had more than one, and what allocators of a worker hold counts for its executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def frugal(worker: Callable) -> Callable:
+    """``worker``, a function from Arrow batches to Arrow batches, that hands back free memory after each batch it took and at its end."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            hand_back()
+
+    @wraps(worker)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from worker(each(batches))
+        finally:
+            hand_back()
+
+    return run
+
+
+# ---------------------------------------------------------------- hashes
+
+
 BASE = 0x9E3779B97F4A7C15 | 1
 _inverse = pow(BASE, -1, 1 << 64)
 

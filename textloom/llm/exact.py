@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_by, keep_by, one_of_repeated, settle, slices, span_hashes
+from .common import drop_by, frugal, keep_by, one_of_repeated, settle, span_hashes, text_slices
 
 WINDOW = 16
 #: A chunk has about MASK + 1 bytes on average, at least MIN_CHUNK and at most MAX_CHUNK.
@@ -77,12 +77,13 @@ def _chunked(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarra
     return joined, begins, ends, counts
 
 
+@frugal
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        out = np.zeros((3, len(texts)), np.int64)
-        for a, b in slices(texts):
-            joined, begins, ends, counts = _chunked(texts[a:b])
+        out = np.zeros((3, len(batch)), np.int64)
+        for a, texts in text_slices(batch.column("text")):
+            b = a + len(texts)
+            joined, begins, ends, counts = _chunked(texts)
             hashes = span_hashes(np.frombuffer(joined, np.uint8), begins, ends)
             at = np.zeros(b - a + 1, np.int64)
             np.cumsum(counts, out=at[1:])
@@ -92,13 +93,13 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *map(pa.array, out)], ["doc_id", "key", "r1", "r2", "n_chunks"])
 
 
+@frugal
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in slices(texts):
-            joined, begins, ends, counts = _chunked(texts[a:b])
+        for a, texts in text_slices(batch.column("text")):
+            joined, begins, ends, counts = _chunked(texts)
             hashes = span_hashes(np.frombuffer(joined, np.uint8), begins, ends).view(np.int64)
-            of = pa.array(np.repeat(np.arange(a, b), counts))
+            of = pa.array(np.repeat(np.arange(a, a + len(texts)), counts))
             at = np.concatenate([np.arange(n) for n in counts.tolist()] or [np.zeros(0, np.int64)])
             offsets = pa.array(np.append(begins, len(joined)), pa.int64()).buffers()[1]
             pieces = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(joined)]).cast(pa.binary())

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, drop_by, keep_by, mix, one_of_repeated, settle, slices, span_hashes, with_key, words
+from .common import checked, drop_by, frugal, keep_by, mix, one_of_repeated, settle, span_hashes, text_slices, with_key, words
 
 THRESHOLD = 0.5
 SHINGLE = 3
@@ -116,11 +116,11 @@ def minima(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
+@frugal
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in slices(texts):
-            grams, begins = shingle_sets(texts[a:b])
+        for a, texts in text_slices(batch.column("text")):
+            grams, begins = shingle_sets(texts)
             some = np.flatnonzero(np.diff(begins))
             if not len(some):
                 continue
@@ -401,7 +401,7 @@ def candidate_links(entries: DataFrame, threshold: float = THRESHOLD, most_rows:
         raise ValueError("two rows have to meet in a node: most_rows is 2 at least")
     links = []
     while True:
-        found = entries.select(*_ENTRY).repartition("node").sortWithinPartitions("node", "of", "doc_id").mapInArrow(_compared(threshold, most_rows, step), PAIRS)
+        found = entries.select(*_ENTRY).repartition("node").sortWithinPartitions("node", "of", "doc_id").mapInArrow(frugal(_compared(threshold, most_rows, step)), PAIRS)
         found = settle(found, "links")
         links.append(found.filter("node is null").select("a", "b", "root"))
         passed = found.filter("node is not null").select("a", *_ENTRY)
@@ -502,7 +502,7 @@ def _verified(links: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
     needs = keyed.select("key", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
     rows = needs.select("key", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     rows = rows.unionByName(keyed.select("key", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams")))
-    return settle(rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_judged(threshold), "a long, b long"), "verified")
+    return settle(rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(frugal(_judged(threshold)), "a long, b long"), "verified")
 
 
 def _sketches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -568,7 +568,7 @@ def link_counts(sets: DataFrame, threshold: float = THRESHOLD, block_grams: int
     low, high = F.least("own", "other"), F.greatest("own", "other")
     rows = rows.select("first_id", low.alias("low"), high.alias("high"), F.col("own").cast("long").alias("own"), "doc_id", "copies", "grams")
     key = F.xxhash64("first_id", "low", "high")
-    counted = rows.repartition(key).sortWithinPartitions("first_id", "low", "high").mapInArrow(_counted_links(threshold), "doc_id long, n long")
+    counted = rows.repartition(key).sortWithinPartitions("first_id", "low", "high").mapInArrow(frugal(_counted_links(threshold)), "doc_id long, n long")
     return counted.groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, text_slices
 from .tokens import VOCABULARY, tokenizer
 
 #: The longest sequence has 2^LARGEST tokens.
@@ -49,15 +50,14 @@ def _packed(vocabulary: str, largest: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary).encode
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in text_groups(texts):
-                ids, starts = encode([t or "" for t in texts[a:b]])
+            for a, texts in text_slices(batch.column("text"), _GROUP_CHARS):
+                ids, starts = encode(texts)
                 exponents, counts = pieces(np.diff(starts), largest)
                 if not len(exponents):
                     continue
                 lengths = np.left_shift(1, exponents)
                 ends = np.cumsum(lengths)
-                of = np.repeat(np.arange(a, b), counts)
+                of = np.repeat(np.arange(a, a + len(texts)), counts)
                 first = np.cumsum(counts) - counts
                 offsets = pa.array(np.append(0, ends) * ids.itemsize, pa.int64()).buffers()[1]
                 rows = pa.RecordBatch.from_arrays(
@@ -73,7 +73,7 @@ def _packed(vocabulary: str, largest: int):
                 )
                 yield rows.take(pa.array(np.argsort(exponents, kind="stable")))  # a batch holds its buckets one after another
 
-    return packed
+    return frugal(packed)
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, largest: int = LARGEST) -> DataFrame:

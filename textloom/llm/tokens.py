@@ -7,6 +7,7 @@ ids of the first. The result equals that of the vocabulary's own encoder on ever
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +33,9 @@ class Tokenizer:
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.ids: list[int] = []
-        self.begin: list[int] = [0]
+        self.ids = array("I")  # lists of numbers would take nine times as much
+        self.begin = array("q", [0])
+        self._array = np.zeros(0, np.uint32)
 
     def decode(self, ids) -> bytes:
         return self.encoder.decode_bytes(list(map(int, ids)))
@@ -118,10 +120,10 @@ class Tokenizer:
             at = self.known.get(h)
             if at is None:
                 at = self.known[h] = len(self.begin) - 1
-                self.ids += piece_of(joined[begin[w] : end[w]])
+                self.ids.extend(piece_of(joined[begin[w] : end[w]]))
                 self.begin.append(len(self.ids))
             slot[k] = at
-        ids, begins = np.asarray(self.ids, np.uint32) if len(self.ids) < 4096 else self._flat(), np.asarray(self.begin, np.int64)
+        ids, begins = self._flat(), np.array(self.begin, np.int64)
         from_, to_ = begins[slot], begins[slot + 1]
         base, size = from_[codes], (to_ - from_)[codes]
         long = np.flatnonzero(end - begin > LONG_PIECE)
@@ -144,13 +146,9 @@ class Tokenizer:
         return out, np.diff(per_text)
 
     def _flat(self) -> np.ndarray:
-        have = getattr(self, "_array", np.zeros(0, np.uint32))
-        if len(have) > len(self.ids):
-            have = have[:0]
-        if len(have) < len(self.ids):
-            have = np.concatenate([have, np.asarray(self.ids[len(have) :], np.uint32)])
-        self._array = have
-        return have
+        if len(self._array) < len(self.ids):
+            self._array = np.concatenate([self._array, np.array(self.ids[len(self._array) :], np.uint32)])
+        return self._array
 
     @staticmethod
     def _contractions(quote, cp, kind, first, start) -> None:
