@@ -374,7 +374,7 @@ def _(spark, sf):
 
 @register("offset_convert", f"WITH {OFFSETS} SELECT user_id, off AS \"offset\", upper(d.data) AS data FROM pts p LEFT JOIN dat d USING (user_id, off)")
 def _(spark, sf):
-    return kwic.offset_data(*_points(spark, sf), ["user_id"], "EXACT", F.upper)
+    return kwic.offset_data(*_points(spark, sf), ["user_id"], "EXACT", tx.capitals)
 
 
 @register("offset_list", f"WITH {OFFSETS} SELECT user_id, string_agg(off || ':' || data, ' ' ORDER BY off, data) AS entries FROM dat GROUP BY 1")
@@ -404,7 +404,7 @@ def _(spark, sf):
 
 @register("stats_transform", f"{BASE} SELECT upper(lang) AS lang, CASE WHEN quality = 1 THEN 'good' ELSE 'other' END AS quality, count(*) AS doc_freq, CAST(sum(score) AS BIGINT) AS total_term_freq FROM {THE} GROUP BY 1, 2")
 def _(spark, sf):
-    return stats.grouped_stats(corpus(spark, sf), "the", ["lang", "quality"], transform=lambda c: [F.upper(c[0]), F.when(c[1] == 1, "good").otherwise("other")])
+    return stats.grouped_stats(corpus(spark, sf), "the", ["lang", "quality"], transform=lambda c: [tx.capitals(c[0]), F.when(c[1] == 1, "good").otherwise("other")])
 
 
 @register("stats_grouper", f"{BASE} SELECT CAST(floor(n_chars / 1000) AS BIGINT) AS size, score > 5 AS often, count(*) AS doc_freq, CAST(sum(score) AS BIGINT) AS total_term_freq FROM {THE} GROUP BY 1, 2")
@@ -443,7 +443,7 @@ def _(spark, sf):
 
 @register("match_transform", f"{SENT} SELECT upper(trim(text)) AS match, count(*) AS doc_freq, CAST(sum(score) AS BIGINT) AS total_term_freq FROM {SHIT} GROUP BY 1")
 def _(spark, sf):
-    return stats.match_stats(corpus(spark, sf), "orre", "SENTENCE", transform=lambda c: F.upper(F.trim(c)))
+    return stats.match_stats(corpus(spark, sf), "orre", "SENTENCE", transform=lambda c: tx.capitals(tx.trimmed(c)))
 
 
 # ---------------------------------------------------------------- collocations

@@ -62,6 +62,25 @@ def analyzed_places(units: DataFrame, keys: list[str], text: str, analyzer) -> D
     return units.select(*keys, F.explode(found).alias("p")).select(*keys, "p.*")
 
 
+# ---------------------------------------------------------------- letters
+
+#: Letters of which ``upper`` makes several, or one that only a newer Unicode knows, with the one capital that SQL gives them.
+_CAPITALS = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1}
+_CAPITALS |= {c: c for c in map(chr, (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86)))}
+
+
+def capitals(text: Column) -> Column:
+    """Each letter by the one capital it has, ß by ẞ; a letter without one stays."""
+    own = F.create_map(*[F.lit(x) for pair in _CAPITALS.items() for x in pair])
+    letters = F.transform(F.split(text, ""), lambda c: F.coalesce(own[c], F.upper(c)))
+    return F.when(text.rlike(f"[{''.join(_CAPITALS)}]"), F.array_join(letters, "")).otherwise(F.upper(text))
+
+
+def trimmed(text: Column) -> Column:
+    """Without space separators at either end, those that don't break too; tabs and line ends stay."""
+    return F.regexp_replace(text, r"\A\p{Zs}+|\p{Zs}+\z", "")
+
+
 # ---------------------------------------------------------------- text units
 
 
