@@ -4,43 +4,172 @@ from __future__ import annotations
 
 import bisect
 import re
+import string
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A token runs to the next white space; one that ends in a hyphen at a line end goes on in the next line.
-TOKEN = r"(?:\S*-\s+(?=\S))*\S+"
 SENTENCE = r"[^.!?]+[.!?]*"
 
+# Tokens are found in Arrow batches, a text at a time: no token is shuffled to learn its place, nor a term to be counted.
+
+#: A token runs to the next white space; one that ends in a hyphen at a line end goes on in the next line.
+_SPACE = " \t\n\f\r"
+_TOKEN = re.compile(rf"(?:[^{_SPACE}]*-[{_SPACE}]+(?=[^{_SPACE}]))*[^{_SPACE}]+")
+_PLAIN = re.compile(rf"[^{_SPACE}]+")
+_BREAK = re.compile(rf"-[{_SPACE}]+")
+#: Rows of a batch that is sent on, pairs of a document and a term that are sorted at a time, texts that are strings at a time,
+#: tokens whose terms a worker keeps.
+_ROWS, _PAIRS, _SLICE, _KNOWN = 200_000, 1_000_000, 64, 300_000
+
+
+class Terms(dict):
+    """Tokens' terms: joined over their line end, without punctuation at their ends, in lower case."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= _KNOWN:
+            self.clear()
+        joined = _BREAK.sub("", token) if "-" in token else token
+        # each letter by itself: no sigma of word ends, no dot of its own
+        self[token] = term = joined.strip(string.punctuation).replace("Σ", "σ").replace("İ", "i").lower()
+        return term
+
 
 def term_of(token: Column) -> Column:
-    """A token's term: joined over its line end, without punctuation at its ends, in lower case."""
-    joined = F.regexp_replace(token, r"-\s+", "")
-    return F.lower(F.regexp_replace(joined, r"(?s)^\p{Punct}*(.*?)\p{Punct}*$", "$1"))
+    """A token's term, as an expression: for streams, which can't wait for batches of texts."""
+    joined = F.regexp_replace(token, rf"-[{_SPACE}]+", "")
+    return F.lower(F.translate(F.btrim(joined, F.lit(string.punctuation)), "Σİ", "σi"))
 
 
 def token_array(text: Column) -> Column:
-    joined = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"-\s+(?=\S)", "")
-    return F.split(joined, r"\s+")
+    joined = F.regexp_replace(F.regexp_replace(text, rf"^[{_SPACE}]+|[{_SPACE}]+$", ""), rf"-[{_SPACE}]+", "")
+    return F.split(joined, rf"[{_SPACE}]+")
 
 
-def tokens(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys, pos, term``: positions count every token from 0, those without a term too, which give no row."""
-    rows = units.select(*keys, F.posexplode(token_array(F.col(text))).alias("pos", "token"))
-    return rows.select(*keys, "pos", term_of(F.col("token")).alias("term")).filter("term <> ''")
+def split_tokens(text: str) -> list[str]:
+    """A text's tokens, joined over line ends."""
+    if "-" in text:
+        text = _BREAK.sub("", text.strip(_SPACE))
+    for c in _SPACE[1:]:
+        if c in text:
+            text = text.replace(c, " ")
+    return [t for t in text.split(" ") if t]
 
 
-def tokens_with_places(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys, pos, term, start, end``: as ``tokens``, with the characters of the text that a token covers."""
-    from pyspark.sql import Window
+def _texts(column: pa.Array) -> Iterator[str]:
+    for at in range(0, len(column), _SLICE):
+        for t in column.slice(at, _SLICE).to_pylist():
+            yield t or ""
+
+
+def _mapped(units: DataFrame, keys: list[str], text: str, found: Callable[[Iterator], Iterator], kinds: list[tuple[str, str]]) -> DataFrame:
+    """``keys`` and columns of ``kinds``: ``found`` makes of (batch of keys, texts) the numbers of rows and the columns."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((b.select(range(len(keys))), _texts(b.column(len(keys)))) for b in batches)
+        for own, at, *columns in found(pairs):
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in own), *columns], [*keys, *(k for k, _ in kinds)])
+
+    fields = [units.schema[k] for k in keys] + [T.StructField(k, T.IntegerType() if kind == "int" else T.LongType() if kind == "long" else T.StringType()) for k, kind in kinds]
+    return units.select(*keys, text).mapInArrow(mapped, T.StructType(fields))
+
+
+def _ints(numbers: array) -> pa.Array:
+    return pa.array(np.frombuffer(numbers, np.int32))
+
+
+def tokens(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys, pos, term``: positions count every token from 0, those without a term too, which give no row."""
 
-    parts = units.select(*keys, F.posexplode(F.arrays_zip(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("token"), F.split(text, TOKEN).alias("gap"))).alias("pos", "part"))
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("part.token") + F.length("part.gap")
-    rows = parts.filter("part.token is not null").withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int") + F.length("part.gap"))
-    rows = rows.select(*keys, "pos", term_of(F.col("part.token")).alias("term"), "start", (F.col("start") + F.length("part.token")).alias("end"))
-    return rows.filter("term <> ''")
+    def found(pairs):
+        known = Terms()
+        for own, texts in pairs:
+            at, pos, terms = array("i"), array("i"), []
+            for i, t in enumerate(texts):
+                for p, token in enumerate(split_tokens(t)):
+                    if term := known[token]:
+                        at.append(i)
+                        pos.append(p)
+                        terms.append(term)
+                if len(at) > _ROWS:
+                    yield own, _ints(at), _ints(pos), pa.array(terms, pa.string())
+                    at, pos, terms = array("i"), array("i"), []
+            yield own, _ints(at), _ints(pos), pa.array(terms, pa.string())
+
+    return _mapped(units, keys, text, found, [("pos", "int"), ("term", "string")])
+
+
+def tokens_with_places(units: DataFrame, keys: list[str], text: str = "text", only: Iterable[str] | None = None) -> DataFrame:
+    """``keys, pos, term, start, end``: as ``tokens``, with the characters of the text that a token covers; of the terms ``only``
+    alone, if given."""
+    wanted = None if only is None else frozenset(only)
+
+    def found(pairs):
+        known = Terms()
+        for own, texts in pairs:
+            at, pos, start, end, terms = array("i"), array("i"), array("i"), array("i"), []
+            for i, t in enumerate(texts):
+                for p, m in enumerate((_TOKEN if _BREAK.search(t) else _PLAIN).finditer(t)):
+                    if (term := known[m[0]]) and (wanted is None or term in wanted):
+                        at.append(i)
+                        pos.append(p)
+                        start.append(m.start())
+                        end.append(m.end())
+                        terms.append(term)
+                if len(at) > _ROWS:
+                    yield own, _ints(at), _ints(pos), pa.array(terms, pa.string()), _ints(start), _ints(end)
+                    at, pos, start, end, terms = array("i"), array("i"), array("i"), array("i"), []
+            yield own, _ints(at), _ints(pos), pa.array(terms, pa.string()), _ints(start), _ints(end)
+
+    return _mapped(units, keys, text, found, [("pos", "int"), ("term", "string"), ("start", "int"), ("end", "int")])
+
+
+def term_counts(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys, term, tf`` of each text, in runs of rows sorted by term."""
+
+    def found(pairs):
+        known, names, tables, before = Terms(), {}, [], 0
+        at, ids, tf = array("i"), array("i"), array("i")
+
+        def run():
+            order = sorted(names)
+            rank = np.empty(len(order), np.int32)
+            rank[[names[x] for x in order]] = np.arange(len(order), dtype=np.int32)
+            rows = rank[np.frombuffer(ids, np.int32)]
+            by = np.argsort(rows, kind="stable")
+            own = pa.Table.from_batches(tables).combine_chunks().to_batches()[0]
+            return own, pa.array(np.frombuffer(at, np.int32)[by]), pa.array(order, pa.string()).take(pa.array(rows[by])), pa.array(np.frombuffer(tf, np.int32)[by].astype(np.int64))
+
+        for own, texts in pairs:
+            tables.append(own)
+            for i, t in enumerate(texts):
+                counts: dict[str, int] = {}
+                for token in split_tokens(t):
+                    term = known[token]
+                    counts[term] = counts.get(term, 0) + 1
+                counts.pop("", None)
+                at.extend([before + i] * len(counts))
+                for term in counts:
+                    ids.append(names.setdefault(term, len(names)))
+                tf.extend(counts.values())
+                if len(at) > _PAIRS:
+                    yield run()
+                    at, ids, tf, names = array("i"), array("i"), array("i"), {}
+            before += own.num_rows
+            if not at:
+                tables, before = [], 0
+            elif before > _PAIRS:
+                yield run()
+                at, ids, tf, names, tables, before = array("i"), array("i"), array("i"), {}, [], 0
+        if at:
+            yield run()
+
+    return _mapped(units, keys, text, found, [("term", "string"), ("tf", "long")])
 
 
 def analyzed_places(units: DataFrame, keys: list[str], text: str, analyzer) -> DataFrame:

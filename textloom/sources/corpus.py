@@ -43,9 +43,16 @@ class Level:
     fields: dict[str, FieldInfo] = field(default_factory=dict)
     #: Keys and content alone, where that takes less than ``frame``.
     texts: Callable[[], DataFrame] | None = None
+    #: Rows whose keys are unique if, and only if, those of the level are, where that takes less than ``texts``, and their keys.
+    identity: tuple[Callable[[], DataFrame], list[str]] | None = None
 
     def text_rows(self, content: str) -> DataFrame:
-        return spread(self.texts().select(*self.keys, content)) if self.texts else self.frame()
+        return (self.texts or self.frame)().select(*self.keys, content)
+
+    def unique(self) -> bool:
+        """Whether no two rows have the same keys."""
+        frame, keys = self.identity or (self.texts or self.frame, self.keys)
+        return not frame().groupBy(*keys).count().filter("count > 1").head(1)
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -139,9 +146,17 @@ class Corpus:
         return self._derived("places", own.id, build)
 
     def doc_terms(self, level: str | None = None) -> DataFrame:
-        """``keys, term, tf``: files are sorted by term, so a term's filter skips row groups."""
+        """``keys, term, tf``: files are runs sorted by term, so a term's filter skips pages and row groups. A text's terms are counted
+        where it is read; only rows that share their keys have to meet for that."""
         own = self.level(level)
-        return self._derived("doc_terms", own.id, lambda: self.tokens(own.id).groupBy(*own.keys, "term").agg(F.count("*").alias("tf")).sortWithinPartitions("term"))
+
+        def build() -> DataFrame:
+            if self.content in self.analyzers:
+                return self.tokens(own.id).groupBy(*own.keys, "term").agg(F.count("*").alias("tf")).sortWithinPartitions("term")
+            counts = text_functions.term_counts(own.text_rows(self.content), own.keys, self.content)
+            return counts if own.unique() else counts.groupBy(*own.keys, "term").agg(F.sum("tf").alias("tf")).sortWithinPartitions("term")
+
+        return self._derived("doc_terms", own.id, build)
 
     def term_stats(self, level: str | None = None) -> DataFrame:
         """``term, doc_freq, total_term_freq``."""
@@ -231,14 +246,16 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     def documents() -> DataFrame:
         return docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left")
 
-    def split(unit: str, number: str) -> Callable[[], DataFrame]:
-        return lambda: text_functions.segments(docs, ["source", "doc_id", "lang"], unit).withColumnRenamed("seg", number)
+    def split(unit: str, number: str, *fields: str) -> Callable[[], DataFrame]:
+        return lambda: text_functions.segments(spread(docs.select("doc_id", "text", *fields)), ["doc_id", *fields], unit).withColumnRenamed("seg", number)
+
+    ids = lambda: docs.select("doc_id"), ["doc_id"]
 
     return Corpus(spark, f"{sf_dir}/documents", [
         Level("SOURCE", ["source"], lambda: docs.groupBy("source").agg(F.count("*").alias("n_docs"))),
-        Level("DOCUMENT", ["doc_id"], documents, texts=lambda: docs),
-        Level("LINE", ["doc_id", "line_no"], split("LINE", "line_no")),
-        Level("SENTENCE", ["doc_id", "sent_no"], split("SENTENCE", "sent_no")),
+        Level("DOCUMENT", ["doc_id"], documents, texts=lambda: spread(docs.select("doc_id", "text")), identity=ids),
+        Level("LINE", ["doc_id", "line_no"], split("LINE", "line_no", "source", "lang"), texts=split("LINE", "line_no"), identity=ids),
+        Level("SENTENCE", ["doc_id", "sent_no"], split("SENTENCE", "sent_no", "source", "lang"), texts=split("SENTENCE", "sent_no"), identity=ids),
     ], default_level="DOCUMENT", paths=(f"{sf_dir}/documents.parquet",))
 
 
