@@ -247,7 +247,7 @@ def expand(segs: DataFrame, keys: list[str], left: int, right: int, joiner: str)
 
 # Breaks of words and tokens need Unicode rules that Spark has no function for.
 
-_WORD = re.compile(r"\w+(?:['’.]\w+)*")
+_WORD = r"\w+(?:['’.]\w+)*"
 
 
 def unit_spans(text: str, unit: str) -> list[tuple[int, int]]:
@@ -255,20 +255,14 @@ def unit_spans(text: str, unit: str) -> list[tuple[int, int]]:
     PARAGRAPH, DOCUMENT."""
     if unit == "CHARACTER":
         return [(i, i + 1) for i in range(len(text))]
-    if unit == "WORD":
-        return [m.span() for m in _WORD.finditer(text)]
-    if unit == "TOKEN":
-        out, at = [], 0
-        while at < len(text):
-            m = _WORD.match(text, at)
-            end = m.end() if m else at + 1
-            out.append((at, end))
-            at = end
-        return out
     if unit == "DOCUMENT":
         return [(0, len(text))]
-    pattern = {"SENTENCE": r"[^.!?]+[.!?]*\s*", "LINE": r"[^\n]*\n?", "PARAGRAPH": r"(?s).+?(?:\n\n+|$)"}[unit]
-    return [m.span() for m in re.finditer(pattern, text) if m.end() > m.start()]
+    return list(_unit_spans(text, unit))
+
+
+def _unit_spans(text: str, unit: str) -> Iterator[tuple[int, int]]:
+    pattern = {"WORD": _WORD, "TOKEN": rf"{_WORD}|(?s:.)", "SENTENCE": r"[^.!?]+[.!?]*\s*", "LINE": r"[^\n]*\n?", "PARAGRAPH": r"(?s).+?(?:\n\n+|$)"}[unit]
+    return (m.span() for m in re.finditer(pattern, text) if m.end() > m.start())
 
 
 def expanded_span(text: str, unit: str, at: int, left: int = 0, right: int = 0) -> tuple[int, int]:
@@ -347,17 +341,20 @@ class Units:
 
 
 def unit_rows(docs: DataFrame, unit: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, seg, start, end`` of every unit of every text."""
-
-    def spans(batches):
-        for batch in batches:
-            ids, seg, start, end = [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = unit_spans(t or "", unit)
-                ids += [i] * len(own)
-                seg += range(len(own))
-                start += [a for a, _ in own]
-                end += [b for _, b in own]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.int32()) for x in (seg, start, end))], [key, "seg", "start", "end"])
-
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(spans, f"{key} long, seg int, start int, end int")
+    """``key, seg, start, end`` of every unit of every text, sent on so many at a time that a worker never holds those of a batch."""
+
+    def found(pairs):
+        for own, texts in pairs:
+            at, seg, start, end = (array("i") for _ in range(4))
+            for i, t in enumerate(texts):
+                for k, (a, b) in enumerate(_unit_spans(t, unit) if unit in ("WORD", "TOKEN") else unit_spans(t, unit)):
+                    at.append(i)
+                    seg.append(k)
+                    start.append(a)
+                    end.append(b)
+                    if len(at) == _ROWS:
+                        yield own, *map(_ints, (at, seg, start, end))
+                        at, seg, start, end = (array("i") for _ in range(4))
+            yield own, *map(_ints, (at, seg, start, end))
+
+    return _mapped(docs.withColumn(key, F.col(key).cast("long")), [key], text, found, [("seg", "int"), ("start", "int"), ("end", "int")])
