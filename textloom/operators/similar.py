@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans import query as q
 from ..plans.compile import Compiler
 from ..sources.corpus import Corpus
+from ..sources.store import small
 
 SORTS = {"TERM": "term", "TDF": "total_doc_freq", "TTF": "total_term_freq"}
 
@@ -31,12 +32,12 @@ def all_similar_terms(corpus: Corpus, patterns: str, level: str | None = None, l
     compiler = Compiler(corpus, level, lexicon)
     words = [compiler.expansion(n) for n in nodes]
     if len(words) == 1:
-        return corpus.term_stats(level).join(words[0], "term", "left_semi").select("term", F.col("doc_freq").alias("total_doc_freq"), "total_term_freq")
+        return corpus.term_stats(level).join(small(words[0], "words"), "term", "left_semi").select("term", F.col("doc_freq").alias("total_doc_freq"), "total_term_freq")
     keys = corpus.keys(level)
     tokens = corpus.tokens(level)
     slots = reduce(DataFrame.unionByName, [w.select("term", F.lit(k).alias("slot")) for k, w in enumerate(words)])
     # every slot's tokens are moved to the place of the n-gram's first word: one aggregation instead of a join for each slot
-    placed = tokens.join(slots, "term").select(*keys, (F.col("pos") - F.col("slot")).alias("at"), "slot", "term")
+    placed = tokens.join(small(slots, "words"), "term").select(*keys, (F.col("pos") - F.col("slot")).alias("at"), "slot", "term")
     grams = placed.groupBy(*keys, "at").agg(F.array_sort(F.collect_list(F.struct("slot", "term"))).alias("words")).filter(F.size("words") == len(words))
     grams = grams.select(*keys, F.array_join(F.transform("words", lambda w: w["term"]), " ").alias("term"))
     return grams.groupBy(*keys, "term").count().groupBy("term").agg(F.count("*").alias("total_doc_freq"), F.sum("count").alias("total_term_freq"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.fuzzy import within_edits
 from ..sources.corpus import Corpus
+from ..sources.store import small
 from . import query as q
 
 INT, LONG, FLOAT, DOUBLE, LATLON = "INTPOINT", "LONGPOINT", "FLOATPOINT", "DOUBLEPOINT", "LATLONPOINT"
@@ -117,9 +118,9 @@ class Compiler:
             numbers = F.create_map(*[c for t, n in by_term.items() for c in (F.lit(t), F.array(*map(F.lit, n)))])
             rows = self.corpus.doc_terms(self.level.id).filter(F.col("term").isin(list(by_term)))
             out.append(rows.select(*self.keys, F.explode(numbers[F.col("term")]).alias("leaf"), F.col("tf").alias("freq")))
-        if other:  # expanded over the dictionary, then joined: Spark broadcasts the expansion if it is small
+        if other:  # expanded over the dictionary, then joined
             words = reduce(DataFrame.unionByName, [self.expansion(x.node).select("term", F.lit(x.number).alias("leaf")) for x in other])
-            rows = self.corpus.doc_terms(self.level.id).join(words, "term")
+            rows = self.corpus.doc_terms(self.level.id).join(small(words, "words"), "term")
             out.append(rows.groupBy(*self.keys, "leaf").agg(F.sum("tf").alias("freq")))
         for x in leaves:
             if isinstance(x.node, q.Phrase):
@@ -205,7 +206,7 @@ class Compiler:
             slots = F.create_map(*[c for t, n in named.items() for c in (F.lit(t), F.array(*map(F.lit, sorted(set(n)))))])
             rows.append(tokens.filter(F.col("term").isin(list(named))).select(*self.keys, "pos", F.explode(slots[F.col("term")]).alias("slot")))
         if wide:
-            rows.append(tokens.join(reduce(DataFrame.unionByName, wide).distinct(), "term").select(*self.keys, "pos", "slot"))
+            rows.append(tokens.join(small(reduce(DataFrame.unionByName, wide).distinct(), "words"), "term").select(*self.keys, "pos", "slot"))
         n = len(node.slots)
         lists = [F.array_sort(F.collect_set(F.when(F.col("slot") == k, F.col("pos")))).alias(f"p{k}") for k in range(n)]
         placed = reduce(DataFrame.unionByName, rows).groupBy(*self.keys).agg(*lists)
@@ -239,7 +240,7 @@ class Compiler:
             coarse = min((inner_level, node.target, own), key=lambda x: corpus.order[x])
             by = corpus.keys(coarse)
             source = inner if set(by) <= set(inner.columns) else corpus.rows(run_at).join(inner.select(*corpus.keys(run_at)), corpus.keys(run_at), "left_semi")
-            found = rows.join(source.select(*by).distinct(), by, "left_semi")
+            found = rows.join(small(source.select(*by).distinct()), by, "left_semi")
         else:  # by a field that any match has
             matching = corpus.rows(inner_level).join(inner.select(*corpus.keys(inner_level)), corpus.keys(inner_level), "left_semi")
             found = field_semi_join(rows, matching, node.target, self.keys)

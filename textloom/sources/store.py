@@ -7,6 +7,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys, terms or matches, and bytes of their files, that are sent to all executors at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
 
 _known: dict[tuple, tuple[str, DataFrame]] = {}
 
@@ -30,6 +34,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, label: str = "keys") -> DataFrame:
+    """``df``, written once, as the side of a join to be sent to all executors if its size allows that: what it meets isn't
+    shuffled."""
+    own = written(df, label)
+    size = own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(own) if int(size) <= BROADCAST_BYTES and own.count() <= BROADCAST_ROWS else own
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """Have a table deleted when the application ends, in whatever file system it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
