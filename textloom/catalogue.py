@@ -725,7 +725,7 @@ def _(spark, sf):
 @register("render_match", f"WITH {SPLACE} SELECT doc_id, pos, substr(text, 1, start) || '<b>' || substr(text, start + 1, n) || '</b>' || substr(text, CAST(start + n + 1 AS INT)) AS marked FROM pl JOIN documents USING (doc_id) WHERE term = 'orre'")
 def _(spark, sf):
     c = corpus(spark, sf)
-    rows = kwic.matches(c, "orre").join(c.rows("DOCUMENT").select("doc_id", "text"), "doc_id")
+    rows = kwic.texts(c, kwic.matches(c, "orre"))
     return rows.select("doc_id", "pos", kwic.marked(F.col("text"), F.col("start"), F.col("end")).alias("marked"))
 
 

@@ -17,6 +17,7 @@ from ..functions.text import unit_spans
 from ..plans import query as q
 from ..plans.compile import Compiler, term_condition
 from ..sources.corpus import Corpus
+from ..sources.store import small, written
 from .search import compiled
 
 
@@ -43,32 +44,26 @@ def matches(corpus: Corpus, query: str, level: str | None = None, full_spans: bo
     level = level or corpus.default_level
     keys = corpus.keys(level)
     c = compiled(corpus, query, level)
-    places = corpus.places(level)
-    hits = c.hits.select(*keys)
-    out = None
-    for x in c.leaves:
-        node = x.node
-        if not x.scores or (x.field and x.field != corpus.content):
-            continue
-        if isinstance(node, q.Term):
-            part = places.filter(F.col("term") == node.text).select(*keys, "pos", F.col("pos").alias("last_pos"), "start", "end", F.col("term").alias("terms"))
-        elif isinstance(node, q.Phrase):
-            part = _spans(corpus, node, level, full_spans)
-        else:
-            words = Compiler(corpus, level).expansion(node)
-            part = places.join(words, "term", "left_semi").select(*keys, "pos", F.col("pos").alias("last_pos"), "start", "end", F.col("term").alias("terms"))
-        part = part.join(hits, keys, "left_semi")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    nodes = [x.node for x in c.leaves if x.scores and not (x.field and x.field != corpus.content)]
+    if not nodes:
         raise q.QueryError("nothing in the query can be marked")
-    return out.distinct()
+    hits = small(c.hits.select(*keys), "hits")
+    one = lambda rows: rows.select(*keys, "pos", F.col("pos").alias("last_pos"), "start", "end", F.col("term").alias("terms"))
+    parts = [_spans(corpus, x, level, full_spans, hits) for x in nodes if isinstance(x, q.Phrase)]
+    if terms := [x.text for x in nodes if isinstance(x, q.Term)]:
+        parts.append(one(corpus.placed(level, hits, terms)))
+    if wide := [Compiler(corpus, level).expansion(x) for x in nodes if not isinstance(x, (q.Term, q.Phrase))]:
+        parts.append(one(corpus.placed(level, hits).join(small(reduce(DataFrame.unionByName, wide).distinct(), "words"), "term", "left_semi")))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def _spans(corpus: Corpus, node: q.Phrase, level: str, full_spans: bool) -> DataFrame:
+def _spans(corpus: Corpus, node: q.Phrase, level: str, full_spans: bool, hits: DataFrame) -> DataFrame:
     keys, n = corpus.keys(level), len(node.slots)
-    found = Compiler(corpus, level).phrase(node).select(*keys, F.explode("at").alias("first"))
+    found = Compiler(corpus, level).phrase(node).join(hits, keys, "left_semi").select(*keys, F.explode("at").alias("first"))
     words = found.select(*keys, "first", F.explode(F.sequence(F.lit(0), F.lit(n - 1 + node.slop))).alias("k")).withColumn("pos", F.col("first") + F.col("k"))
-    words = words.join(corpus.places(level), [*keys, "pos"])
+    options = [o for s in node.slots for o in s]
+    named = [o.text for o in options] if all(isinstance(o, q.Term) for o in options) else None
+    words = words.join(corpus.placed(level, hits, named), [*keys, "pos"])
     if node.slop:  # only words that a slot names
         words = words.filter(reduce(lambda a, b: a | b, [term_condition(o, F.col("term")) for s in node.slots for o in s]))
     if not full_spans:
@@ -77,14 +72,20 @@ def _spans(corpus: Corpus, node: q.Phrase, level: str, full_spans: bool) -> Data
     return words.groupBy(*keys, "first").agg(F.max("pos").alias("last_pos"), F.min("start").alias("start"), F.max("end").alias("end"), terms.alias("terms")).withColumnRenamed("first", "pos").select(*keys, "pos", "last_pos", "start", "end", "terms")
 
 
-def neighbour(corpus: Corpus, found: DataFrame, level: str, distance: int, name: str) -> DataFrame:
+def _ranked(corpus: Corpus, found: DataFrame, level: str) -> DataFrame:
+    """``keys, pos, term, n`` of all words of the rows that ``found`` is in, by their number among those with a term."""
+    keys = corpus.keys(level)
+    words = corpus.placed(level, small(found.select(*keys).distinct()))
+    return words.select(*keys, "pos", "term", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")).alias("n"))
+
+
+def neighbour(corpus: Corpus, found: DataFrame, level: str, distance: int, name: str, ranked: DataFrame | None = None) -> DataFrame:
     """``found`` with the term that stands ``distance`` words before (negative) or after the match; empty where there is none.
-    Words without a term are no neighbours."""
+    Words without a term are no neighbours. ``ranked`` are the words, if they are at hand."""
     keys = corpus.keys(level)
     if distance == 0:
         return found.withColumn(name, F.col("terms"))
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
-    ranked = corpus.tokens(level).join(found.select(*keys).distinct(), keys, "left_semi").withColumn("n", order)
+    ranked = _ranked(corpus, found, level) if ranked is None else ranked
     edge = "last_pos" if distance > 0 else "pos"
     at = ranked.select(*keys, F.col("pos").alias(edge), (F.col("n") + distance).alias("n"))
     words = at.join(ranked.select(*keys, "n", F.col("term").alias(name)), [*keys, "n"]).drop("n")
@@ -96,21 +97,31 @@ def kwic(corpus: Corpus, query: str, level: str | None = None, sort: list[str] |
     of its row (a sentence, where the level is that)."""
     level = level or corpus.default_level
     keys = corpus.keys(level)
-    rows = matches(corpus, query, level, full_spans)
+    rows = written(matches(corpus, query, level, full_spans), "matches")
     order: list[Column] = []
-    for k, key in enumerate(sort_key(s) for s in sort or []):
-        rows = neighbour(corpus, rows, level, key.distance, f"sort_{k}")
+    sort_keys = [sort_key(s) for s in sort or []]
+    ranked = written(_ranked(corpus, rows, level), "words") if any(k.distance for k in sort_keys) else None
+    for k, key in enumerate(sort_keys):
+        rows = neighbour(corpus, rows, level, key.distance, f"sort_{k}", ranked)
         c = F.lower(f"sort_{k}") if key.insensitive else F.col(f"sort_{k}")
         order.append(c.asc() if key.direction == "A" else c.desc())
-    top = rows.orderBy(*order, *keys, "start")
+    top = rows.orderBy(*order, *keys, "start") if offset or limit != -1 else rows
     top = top.offset(offset) if offset else top
     top = top if limit == -1 else top.limit(limit)
-    text = corpus.rows(level).select(*keys, F.col(corpus.content).alias("snippet"), *[f for f in fields or [] if f not in keys])
-    out = text.join(F.broadcast(top) if limit != -1 and limit + offset <= 10_000 else top, keys)
+    more = [f for f in fields or [] if f not in keys]
+    text = corpus.rows(level) if more else corpus.level(level).text_rows(corpus.content)
+    text = text.select(*keys, F.col(corpus.content).alias("snippet"), *more)
+    out = text.join(small(top, "page"), keys)
     out = out.withColumn("match", F.substring("snippet", F.col("start") + 1, F.col("end") - F.col("start")))
     return out.orderBy(*order, *keys, "start").select(*keys, "start", "end", "terms", "match", "snippet", *[f"sort_{k}" for k in range(len(order))], *[f for f in fields or [] if f not in keys])
 
 
+def texts(corpus: Corpus, found: DataFrame, level: str | None = None) -> DataFrame:
+    """``keys, text`` and the columns of ``found``, which has rows of the level."""
+    keys = corpus.keys(level)
+    return corpus.level(level).text_rows(corpus.content).select(*keys, F.col(corpus.content).alias("text")).join(small(found, "found"), keys)
+
+
 def passages(corpus: Corpus, query: str, unit: str = "SENTENCE", level: str = "DOCUMENT", join_matches: bool = True, most: int = -1) -> DataFrame:
     """``keys, passage, start, end, n_matches, score, snippet``: the units that hold matches, with ``<b>`` around these. Matches
     in one unit share a passage, or get one each without ``join_matches``; ``most`` keeps the best of a document, in order of
@@ -118,7 +129,7 @@ def passages(corpus: Corpus, query: str, unit: str = "SENTENCE", level: str = "D
     keys = corpus.keys(level)
     found = matches(corpus, query, level)
     lists = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "terms"))).alias("found"))
-    rows = corpus.rows(level).select(*keys, F.col(corpus.content).alias("text")).join(lists, keys)
+    rows = texts(corpus, lists, level)
     marked = F.arrow_udf(_passages(unit, join_matches, most), "array<struct<start:int,end:int,n_matches:int,score:double,snippet:string>>")("text", "found")
     return rows.select(*keys, F.posexplode(marked).alias("passage", "p")).select(*keys, "passage", "p.*")
 

@@ -145,6 +145,16 @@ class Corpus:
 
         return self._derived("places", own.id, build)
 
+    def placed(self, level: str, hits: DataFrame, only: list[str] | None = None) -> DataFrame:
+        """``places`` in the rows whose keys ``hits`` has (as ``store.small`` gives them), of the terms ``only`` alone, if given: made
+        from these rows' text, so that a query for few rows needs no places of all."""
+        own = self.level(level)
+        hits = hits.select(*own.keys)
+        if self.content in self.analyzers:
+            rows = self.places(own.id).join(hits, own.keys, "left_semi")
+            return rows if only is None else rows.filter(F.col("term").isin(only))
+        return text_functions.tokens_with_places(own.text_rows(self.content).join(hits, own.keys, "left_semi"), own.keys, self.content, only)
+
     def doc_terms(self, level: str | None = None) -> DataFrame:
         """``keys, term, tf``: files are runs sorted by term, so a term's filter skips pages and row groups. A text's terms are counted
         where it is read; only rows that share their keys have to meet for that."""
